@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts_of
+from .common import slices, small_batches, texts_of
 from .word_tokens import chunk_tokenizer
 
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -68,6 +68,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1,
     with_ids adds the piece's ids (array<int>) for a writer.
     """
 
+    small_batches(docs.sparkSession)
+
     def run(batches):
         tok, bins = chunk_tokenizer(tokenizer), BestFit(capacity, open_bins, TaskContext.get().partitionId() << 40)
         for batch in batches:

@@ -3,21 +3,21 @@
 The merges of a byte string are fixed by its neighbouring tokens: a token sequence is what the merges give exactly if
 each adjacent pair is what the merges give for that pair's bytes. So one nondeterministic machine reads bytes, guesses
 tokens along a trie and lets a token follow only where the pair agrees; each prefix of the input has one surviving
-sequence. The machine's subsets (trie nodes, and the tokens owed on the way to each) are made as they are met; a token is
-emitted as soon as all live guesses share it, which the longest token's length bounds.
+sequence, and so one last token. The machine's subsets (the trie nodes of the tokens that may be under way, each with the
+token before it) are made as they are met. A move's output is the last token of the prefix read so far; tokens are settled,
+and emitted, up to the place where the ways to all tokens under way part, which the longest token's length bounds.
 """
 
 from __future__ import annotations
 
 import base64
-import hashlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts_of
+from .common import slices, small_batches, texts_of
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -42,12 +42,12 @@ class Transducer:
 
     ROOT = 0
 
-    def __init__(self, ranks: dict[bytes, int], states: int = 120_000):
+    def __init__(self, ranks: dict[bytes, int], states: int = 80_000):
         self.ranks, self.limit = ranks, states
         self.vocab = {i: b for b, i in ranks.items()}
         #: by trie node: the child by the next byte, and the token that ends there (-1: none)
         self.kids: list[dict[int, int]] = [{}]
-        self.token = [-1]
+        self.token, self.depth = [-1], [0]
         for piece, rank in ranks.items():
             node = 0
             for b in piece:
@@ -56,18 +56,20 @@ class Transducer:
                     nxt = self.kids[node][b] = len(self.token)
                     self.kids.append({})
                     self.token.append(-1)
+                    self.depth.append(self.depth[node] + 1)
                 node = nxt
             self.token[node] = rank
         self.halves: dict[int, tuple[int, int]] = {}
-        self.agree: dict[tuple[int, int], bool] = {}
+        #: by last << 20 | token
+        self.agree: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
         self._reset()
 
     def _reset(self) -> None:
-        self.number = {(-1, ((0, ()),)): 0}
-        self.content = [(-1, ((0, ()),))]
-        self.moves: list[dict[int, tuple[int, tuple]]] = [{}]
-        self.finals: list[tuple] = [()]
+        start = ((self.ROOT, -1),)
+        self.number, self.content = {start: 0}, [start]
+        #: by state: next state and last token, by the next byte
+        self.moves: list[dict[int, tuple[int, int]]] = [{}]
 
     def _parts(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge ends the making of ``token``; None for a single byte."""
@@ -90,10 +92,11 @@ class Transducer:
             known = self.whole.get(token)
             if known is None:
                 known = self.whole[token] = merge(self.ranks, self.vocab[token]) == [token]
+            self.agree[last << 20 | token] = known
             return known
-        known = self.agree.get((last, token))
+        known = self.agree.get(last << 20 | token)
         if known is None:
-            if len(self.agree) > 4 * self.limit:
+            if len(self.agree) > 3 * self.limit:
                 self.agree.clear()
             if not (self._follows(-1, last) and self._follows(-1, token)):
                 known = False
@@ -111,57 +114,82 @@ class Transducer:
                         before, left = left, a[1]
                     else:
                         before, right = right + 1, b[0]
-            self.agree[last, token] = known
+            self.agree[last << 20 | token] = known
         return known
 
-    def _step(self, state: int, byte: int) -> tuple[int, tuple]:
-        context, guesses = self.content[state]
-        live, done, kids, tokens = [], None, self.kids, self.token
-        for node, owed in guesses:
+    def _step(self, state: int, byte: int) -> tuple[int, int]:
+        live, done, kids, tokens, agree = [], -1, self.kids, self.token, self.agree
+        for node, last in self.content[state]:
             child = kids[node].get(byte)
             if child is not None:
-                live.append((child, owed))
-                if done is None and (token := tokens[child]) >= 0 and self._follows(owed[-1] if owed else context, token):
-                    done = (*owed, token)
+                token = tokens[child]
+                if done < 0 <= token:
+                    known = agree.get(last << 20 | token)
+                    if self._follows(last, token) if known is None else known:
+                        done = token
+                if kids[child]:
+                    live.append((child, last))
         live.append((self.ROOT, done))
-        owing = [owed for _, owed in live]
-        low, high = min(owing), max(owing)
-        shared, most = 0, min(len(low), len(high))
-        while shared < most and low[shared] == high[shared]:
-            shared += 1
-        if shared:
-            key = (done[shared - 1], tuple([(node, owed[shared:]) for node, owed in live]))
-        else:
-            key = (context, tuple(live))
-        emitted = done[:shared]
+        key = tuple(live)
         to = self.number.get(key)
         if to is None:
             to = self.number[key] = len(self.content)
             self.content.append(key)
             self.moves.append({})
-            self.finals.append(done[shared:])
-        self.moves[state][byte] = (to, emitted)
-        return to, emitted
+        self.moves[state][byte] = move = (to, done)
+        return move
+
+    def _settled(self, state: int, lasts: list[int], read: int) -> int:
+        """Up to where the ways to all tokens under way are one: a place among the ``read`` bytes held."""
+        ends = {read - self.depth[node] for node, _ in self.content[state]}
+        while len(ends) > 1:
+            far = max(ends)
+            ends.remove(far)
+            ends.add(far - len(self.vocab[lasts[far - 1]]))
+        return ends.pop()
+
+    def _back(self, lasts: list[int], end: int) -> list[int]:
+        out = []
+        while end:
+            token = lasts[end - 1]
+            out.append(token)
+            end -= len(self.vocab[token])
+        out.reverse()
+        return out
+
+    def stream(self, piece: bytes, hold: int = 4096):
+        """The piece's tokens in lists, as they are settled; about ``hold`` bytes are held back at most."""
+        if len(self.content) > self.limit:
+            self._reset()
+        state, lasts, moves = 0, [], self.moves
+        for byte in piece:
+            state, last = moves[state].get(byte) or self._step(state, byte)
+            lasts.append(last)
+            if len(lasts) >= hold:
+                end = self._settled(state, lasts, len(lasts))
+                yield self._back(lasts, end)
+                del lasts[:end]
+        yield self._back(lasts, len(lasts))
 
     def encode(self, piece: bytes) -> list[int]:
         """As the tiktoken library: a piece that is itself in the vocabulary is that token."""
         if (known := self.ranks.get(piece)) is not None:
             return [known]
+        if len(piece) > 4096:
+            return [t for part in self.stream(piece) for t in part]
         if len(self.content) > self.limit:
             self._reset()
-        state, out, moves = 0, [], self.moves
+        state, lasts, moves, step = 0, [], self.moves, self._step
         for byte in piece:
-            state, emitted = moves[state].get(byte) or self._step(state, byte)
-            if emitted:
-                out += emitted
-        out += self.finals[state]
-        return out
+            state, last = moves[state].get(byte) or step(state, byte)
+            lasts.append(last)
+        return self._back(lasts, len(lasts))
 
 
 class Encoder:
     """Whole texts: the pattern's matches one by one, with a bounded cache of matches."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = 350_000):
         import regex
 
         self.find = regex.compile(pattern).findall
@@ -255,6 +283,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     One row out for each row in, also where doc_ids repeat or are null; other columns are ignored; no shuffle.
     """
 
+    small_batches(docs.sparkSession)
+
     def run(batches):
         encoder, _ = coder(ranks_path, pattern)
         for batch in batches:
@@ -264,6 +294,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, "doc_id long, ids binary")
 
 
+def _text_bytes(vocab: dict[int, bytes], raw: bytes, step: int) -> bytes:
+    ids, stream = np.frombuffer(raw, "<u4").tolist(), Utf8Stream(vocab)
+    return b"".join([*(stream.feed(ids[i : i + step]) for i in range(0, len(ids), step)), stream.close()])
+
+
 def decode(tokens: DataFrame, ranks_path: str, pattern: str, step: int = 4096) -> DataFrame:
     """``tokens`` with ``data`` binary: the bytes of its ``ids``, decoded ``step`` ids at a time."""
 
@@ -271,14 +306,22 @@ def decode(tokens: DataFrame, ranks_path: str, pattern: str, step: int = 4096) -
         _, vocab = coder(ranks_path, pattern)
         for batch in batches:
             for part in slices(batch, "ids"):
-                out = []
-                for raw in part.column(1):
-                    ids, stream = np.frombuffer(raw.as_py(), "<u4").tolist(), Utf8Stream(vocab)
-                    out.append(b"".join([*(stream.feed(ids[i : i + step]) for i in range(0, len(ids), step)), stream.close()]))
+                out = [_text_bytes(vocab, raw, step) for raw in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.binary())], ["doc_id", "ids", "data"])
 
     return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, data binary")
 
 
-def ids_hash(ids: bytes) -> str:
-    return hashlib.sha256(ids).hexdigest()
+def recode(docs: DataFrame, ranks_path: str, pattern: str, step: int = 4096) -> DataFrame:
+    """``encode`` and ``decode`` in one pass of one worker: (doc_id, ids, data)."""
+
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        encoder, vocab = coder(ranks_path, pattern)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                coded = [encoder.encode(t) for t in texts_of(part)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(coded, pa.binary()), pa.array([_text_bytes(vocab, c, step) for c in coded], pa.binary())], ["doc_id", "ids", "data"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, "doc_id long, ids binary, data binary")

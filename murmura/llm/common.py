@@ -60,6 +60,12 @@ def shared(spark: SparkSession, key: str, value):
     return spark.sparkContext.broadcast(value)
 
 
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Let Arrow batches hold at most ``size`` bytes in this session: a worker's memory then doesn't depend on how long
+    the texts are that happen to share a batch (a single row may be longer)."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
     """Row ranges of ``batch`` whose ``column`` holds about ``limit`` bytes; a longer single value is a range of its own."""
     col = batch.column(batch.schema.get_field_index(column))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, new_path, save, shared, slices, texts_of
+from .common import drop, new_path, save, shared, slices, small_batches, texts_of
 from .word_tokens import chunk_tokenizer
 
 MAGIC = 0x48554631
@@ -137,6 +137,8 @@ def read_block(code: Code, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarr
 def tokenise(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """(doc_id, n, ids): the ids of each whole text (null: empty) with the end id, as little-endian bytes."""
 
+    small_batches(docs.sparkSession)
+
     def run(batches):
         tok = chunk_tokenizer(tokenizer)
         end = np.array([end_id], tok.dtype)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit, byte_bpe, huffman, warc
+from . import best_fit, byte_bpe, hamming_dedup, huffman, kn_quality, language_id, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.captures(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -34,6 +38,10 @@ FROM p JOIN f USING (x)
 """
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kn_quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.pack(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), capacity=4096, end_id=1)
 
@@ -42,18 +50,21 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = _vocabulary("byte_bpe_50k.tiktoken")
-    coded = byte_bpe.encode(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
-    back = byte_bpe.decode(coded, ranks, public_tokenizers.PATTERN)
+    back = byte_bpe.recode(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
     return back.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256"))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming_dedup.near_duplicates(_table(spark, sf_dir, "documents"), percent=75)
+
+
 def op10_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = huffman.write_ids(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=2)
     return huffman.read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_warc, op6_best_fit, op7_byte_bpe, op10_huffman)}
+    return {f.__name__: f for f in (op2_language, op3_warc, op5_quality, op6_best_fit, op7_byte_bpe, op8_near_duplicates, op10_huffman)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, new_path, save, slices
+from .common import drop, new_path, save, slices, small_batches
 
 EPOCH = datetime(2024, 1, 1, tzinfo=timezone.utc)
 INDEX = "urlkey string, timestamp string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, offset long, length long"
@@ -150,6 +150,8 @@ def write_archives(pages: DataFrame, min_revisit_bytes: int = 0, records_per_fil
     joined = rows.withColumn("sha", F.unhex(F.sha1("body"))).join(F.broadcast(other) if small else other, F.col("sha") == F.col("__sha"), "left")
     refers = F.when((F.octet_length("body") >= min_revisit_bytes) & ~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))
 
+    small_batches(spark)
+
     def run(batches):
         for batch in batches:
             for part in slices(batch, "body"):
