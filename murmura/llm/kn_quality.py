@@ -27,6 +27,8 @@ START, END = b"\x02" * (ORDER - 1), b"\x03"
 #: Control bytes, the marks among them, read as spaces.
 _CLEAN = bytes(0x20 if b < 0x20 or b == 0x7F else b for b in range(256))
 BLOCK_BYTES = 8 << 20
+#: Bytes of a text that is long enough to set limits by (where a language has any such).
+LONG = 200
 #: 5-grams of the model, and asked for, that one task holds.
 SHARD_GRAMS, SHARD_ASKED = 250_000, 8_000_000
 
@@ -246,24 +248,28 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, slack: float = 1.1, evidence: float = 15.0) -> DataFrame:
     """(doc_id, lang, n_bytes, perplexity, threshold, accepted) for each row of docs (doc_id, lang, text).
 
-    Trained on the full texts of all documents that labels (doc_id, quality) call good. A document is accepted if its
-    perplexity is at most ``slack`` times the ``quantile`` of the trusted ones of its language, or its whole text is less
+    Trained on the full texts of the documents that labels (doc_id, quality) call good, but for a fifth of them, by a hash of
+    their ids; on those, which the model hasn't seen, the limits are set. A document is accepted if its perplexity is at
+    most ``slack`` times the ``quantile`` of that fifth in its language, or its whole text is less
     than ``evidence`` nats beyond that (a few words prove nothing); languages without any take the quantile over all (null
     languages are one language). Null and empty texts are accepted, having nothing to judge
     (their perplexity is that of the bare end mark). Without trusted text everything is accepted. Repeated doc_ids are
     judged row by row; a null doc_id is scored as any. An empty table gives no rows.
     """
-    ids = save(trusted_ids(labels), "trusted")
-    trusted = near_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids, "doc_id", "left_semi")
+    unseen = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
+    ids = save(trusted_ids(labels).withColumn("unseen", unseen), "trusted")
+    trusted = near_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids.where("NOT unseen"), "doc_id", "left_semi")
     counts = save(count_grams(trusted), "kn-counts")
     if counts.isEmpty():
         drop(ids, counts)
         none = F.lit(None).cast("double")
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), none.alias("perplexity"), none.alias("threshold"), F.lit(True).alias("accepted"))
     scores = save(perplexity(docs, counts), "perplexity")
-    good = near_ids(scores.where("n_bytes > 0"), ids, "doc_id", "left_semi")
-    limits = good.groupBy("lang").agg((F.percentile_approx("perplexity", quantile, 10_000) * slack).alias("own"))
-    overall = (good.agg(F.percentile_approx("perplexity", quantile, 10_000)).first()[0] or float("inf")) * slack
+    good = save(near_ids(scores.where("n_bytes > 0"), ids.where("unseen"), "doc_id", "left_semi").select("lang", "n_bytes", "perplexity"), "limits")
+    long = F.when(F.col("n_bytes") >= LONG, F.col("perplexity"))  # short texts scatter; ``evidence`` is for them
+    limit = F.coalesce(F.percentile_approx(long, quantile, 10_000), F.percentile_approx("perplexity", quantile, 10_000)) * slack
+    limits = good.groupBy("lang").agg(limit.alias("own"))
+    overall = good.agg(limit).first()[0] or float("inf")
     limits = limits.withColumnRenamed("lang", "__lang")
     out = scores.join(limits, F.col("lang").eqNullSafe(F.col("__lang")), "left").withColumn("threshold", F.coalesce("own", F.lit(overall)))
     return out.select("doc_id", "lang", "n_bytes", "perplexity", "threshold", ((F.col("n_bytes") == 0) | ((F.col("n_bytes") + 1) * F.log(F.col("perplexity") / F.col("threshold")) <= evidence)).alias("accepted"))
