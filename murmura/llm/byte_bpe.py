@@ -11,6 +11,7 @@ and emitted, up to the place where the ways to all tokens under way part, which
 from __future__ import annotations
 
 import base64
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ class Transducer:
 
     ROOT = 0
 
-    def __init__(self, ranks: dict[bytes, int], states: int = 80_000):
+    def __init__(self, ranks: dict[bytes, int], states: int = 400_000):
         self.ranks, self.limit = ranks, states
         self.vocab = {i: b for b, i in ranks.items()}
         #: by trie node: the child by the next byte, and the token that ends there (-1: none)
@@ -96,7 +97,7 @@ class Transducer:
             return known
         known = self.agree.get(last << 20 | token)
         if known is None:
-            if len(self.agree) > 3 * self.limit:
+            if len(self.agree) > 2 * self.limit:
                 self.agree.clear()
             if not (self._follows(-1, last) and self._follows(-1, token)):
                 known = False
@@ -187,21 +188,30 @@ class Transducer:
 
 
 class Encoder:
-    """Whole texts: the pattern's matches one by one, with a bounded cache of matches."""
+    """Whole texts: the pattern's matches one by one, with a cache of matches in two generations of at most ``cache``."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = 350_000):
         import regex
 
         self.find = regex.compile(pattern).findall
-        self.machine, self.limit, self.cache = Transducer(ranks), cache, {}
+        self.machine, self.limit = Transducer(ranks), cache
+        self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit."""
         pieces, cache = self.find(text), self.cache
         if len(cache) > self.limit:
-            cache.clear()
-        for p in set(pieces).difference(cache):
-            cache[p] = np.array(self.machine.encode(p.encode()), "<u4").tobytes()
+            self.old, self.cache = cache, (cache := {})
+        missing = set(pieces).difference(cache)
+        if missing:
+            old, run = self.old, self.machine.encode
+            for p in missing:
+                ids = old.get(p)
+                if ids is None:
+                    tokens = run(p.encode())
+                    ids = pack(f"<{len(tokens)}I", *tokens)
+                cache[p] = ids
         return b"".join(map(cache.__getitem__, pieces))
 
 
@@ -230,26 +240,44 @@ class Utf8Stream:
     The machine's move over a whole token is remembered by (state, token)."""
 
     TABLE = utf8_table()
-    memo: dict[int, tuple[int, int]] = {}
+    #: by vocabulary: moves by (state, token), and whether a token is whole characters from state 0 on
+    known: dict[int, tuple[dict, bytearray]] = {}
 
     def __init__(self, vocab: dict[int, bytes]):
         self.vocab, self.state, self.held = vocab, 0, b""
+        if id(vocab) not in self.known:
+            whole = bytearray(max(vocab) + 1)
+            for t in vocab:
+                whole[t] = self._over(0, t) == (0, 0)
+            self.known[id(vocab)] = {}, whole
+        self.memo, self.whole = self.known[id(vocab)]
 
     def _over(self, state: int, token: int) -> tuple[int, int]:
-        """(state after the token, how many of its last bytes belong to an unfinished character; -1: all and more)."""
-        unfinished = -1
+        """(state after the token, how many of its last bytes belong to an unfinished character; -1: all and more).
+
+        A byte that can't go on with a character ends that one and is looked at anew; one that can't begin one is alone."""
         data = self.vocab[token]
+        begin = -1 if state else 0
         for i, b in enumerate(data):
-            state = self.TABLE[0 if state == 8 else state][b]
-            if state in (0, 8):
-                unfinished = len(data) - i - 1
-        return state, unfinished
+            to = self.TABLE[state][b]
+            if to == 8:
+                to, state = self.TABLE[0][b], 0
+            if to == 8:
+                to = 0
+            if to == 0:
+                begin = i + 1
+            elif state == 0:
+                begin = i
+            state = to
+        return state, -1 if begin < 0 else len(data) - begin if state else 0
 
     def feed(self, ids: list[int]) -> bytes:
-        state, memo, size = self.state, self.memo, len(self.vocab)
+        state, memo, whole, size = self.state, self.memo, self.whole, len(self.whole)
         data = b"".join(map(self.vocab.__getitem__, ids))
         open_bytes = len(self.held)
         for t in ids:
+            if not state and whole[t]:
+                continue
             got = memo.get(state * size + t)
             if got is None:
                 got = memo[state * size + t] = self._over(state, t)
