@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit, byte_bpe, hamming_dedup, huffman, kn_quality, language_id, warc
+from . import ann_forest, best_fit, byte_bpe, fagin, hamming_dedup, huffman, kn_quality, language_id, license_scan, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,10 @@ FROM p JOIN f USING (x)
 """
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_forest.nearest(_table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kn_quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -58,14 +66,28 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming_dedup.near_duplicates(_table(spark, sf_dir, "documents"), percent=75)
 
 
+def op9_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fagin.top_products(_table(spark, sf_dir, "embeddings"), k=5, every=50, scale=256)
+
+
+OP9_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def op10_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = huffman.write_ids(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=2)
     return huffman.read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_language, op3_warc, op5_quality, op6_best_fit, op7_byte_bpe, op8_near_duplicates, op10_huffman)}
+    return {f.__name__: f for f in (op1_licenses, op2_language, op3_warc, op4_nearest, op5_quality, op6_best_fit, op7_byte_bpe, op8_near_duplicates, op9_top_products, op10_huffman)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL}
+    return {"op1_licenses": license_scan.scan_sql(), "op3_warc": OP3_SQL, "op9_top_products": OP9_SQL}
