@@ -5,9 +5,12 @@ chunk with at most one difference; so each chunk is indexed five times, each tim
 pairs under that distance meet under some key. At the lowest similarity sought (0.75) a pair meets nowhere with
 probability 0.3672 ** 12 = 6e-6. Documents with equal shingle sets are one class from the start.
 
-Pairs within a key are not written out. First each class is compared with the smallest of the key that it shares most
-keys with; then classes of one key are compared only if they are in different components yet: each with its most similar
-one, and at last all that are left whose signatures are near. So a group of n near copies costs about n comparisons.
+Pairs within a key are not written out. First each class is compared with one other, its pivot: the smallest of the key
+that it shares most keys with. Then only classes that share a key but no component yet are looked at, and of their pairs
+only those are compared whose full sets can reach the similarity at all. That is bounded exactly, without the sets: by
+their sizes, by how many of their shingles no other such class has, and, for two with one pivot, by which of the pivot's
+shingles each has (bits, from the first comparison). So a group of n near copies costs about n comparisons, also where many
+of its pairs are just too far apart.
 """
 
 from __future__ import annotations
@@ -68,10 +71,16 @@ def index_keys(classes: DataFrame) -> DataFrame:
     return classes.select("id", "comp", "sig").mapInArrow(run, "key long, id long, comp long")
 
 
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) of the rows named by the saved ``ids``, picked out of ``docs`` where they are."""
+    return near_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids, "doc_id", "left_semi").select("doc_id", "text")
+
+
 def confirm(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Those of the saved (a, b) whose full sets have 100 * intersection >= percent * union; a saved table.
+    """The saved (a, b) compared on their full sets: (a, b, linked, bits, beyond), a saved table.
 
-    Texts travel compressed; the ones asked for are picked out of ``docs`` where they are.
+    linked: 100 * intersection >= percent * union. bits: for each of a's shingles, in order, whether b has it; beyond: how
+    many of b's a hasn't. Texts travel compressed.
     """
     ids = save(pairs.selectExpr("explode(array(a, b)) AS id").distinct(), "pair-ids")
 
@@ -79,8 +88,7 @@ def confirm(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zlib.compress(t.encode(), 1) for t in texts_of(batch)], pa.binary())], ["id", "z"])
 
-    wanted = near_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids, "doc_id", "left_semi")
-    texts = save(wanted.select("doc_id", "text").mapInArrow(squeeze, "id long, z binary"), "pair-texts")
+    texts = save(_texts(docs, ids).mapInArrow(squeeze, "id long, z binary"), "pair-texts")
 
     def compare(batches):
         a, held = None, None
@@ -90,16 +98,31 @@ def confirm(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
                 if held is None or a != x:
                     a, held = x, shingle_sets([zlib.decompress(zx.as_py()).decode()])[0]
                 other = shingle_sets([zlib.decompress(zy.as_py()).decode()])[0]
-                both = len(np.intersect1d(held, other, assume_unique=True))
-                if 100 * both >= percent * (len(held) + len(other) - both):
-                    out.append((x, y))
-            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+                has = np.isin(held, other, assume_unique=True)
+                both = int(has.sum())
+                out.append((x, y, 100 * both >= percent * (len(held) + len(other) - both), np.packbits(has).tobytes(), len(other) - both))
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["a", "b", "linked", "bits", "beyond"])
 
     first, second = texts.toDF("a", "za"), texts.toDF("b", "zb")
     joined = pairs.join(second, "b").join(first, "a").select("a", "b", "za", "zb")
-    links = save(joined.mapInArrow(compare, "a long, b long"), "links")
+    found = save(joined.mapInArrow(compare, "a long, b long, linked boolean, bits binary, beyond long"), "compared")
     drop(ids, texts)
-    return links
+    return found
+
+
+def lonely(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, own): how many shingles of each of the saved ``ids`` no other of them has."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                sets = shingle_sets(texts_of(part))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), [len(x) for x in sets])), pa.array(np.concatenate(sets).view(np.int64))], ["id", "shingle"])
+
+    each = _texts(docs, ids).mapInArrow(run, "id long, shingle long")
+    once = each.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("id = last")
+    return once.groupBy("id").agg(F.count("*").alias("own"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -131,46 +154,68 @@ def _renamed(edges: DataFrame) -> DataFrame:
     return out
 
 
-def _near_pairs(ids: np.ndarray, comps: np.ndarray, sigs: np.ndarray, side: np.ndarray, best: bool) -> tuple[list, list, list]:
-    """Pairs of different components and near signatures: (a, b, agreement). side: 0 and 1 are compared with each other,
-    2 with all. best: for each only its most similar one."""
-    out_a, out_b, out_n = [], [], []
+def _near_pairs(t: dict[str, np.ndarray], bits: list[bytes | None], percent: int) -> tuple[list[int], list[int]]:
+    """Pairs of different components, near signatures, and sets that may reach the similarity.
+
+    side: 0 and 1 are compared with each other, 2 with all. shared: a set's shingles that others have too; beyond: those
+    of them that its pivot lacks.
+    """
+    out_a, out_b = [], []
+    ids, comps, sigs, side, n, shared, pivot, beyond = (t[k] for k in ("id", "comp", "sig", "side", "n", "shared", "pivot", "beyond"))
+    # one row a class: packed bits of its pivot's shingles, by pivot
+    place, tables = np.zeros(len(ids), np.int64), {}
+    for p in np.unique(pivot).tolist():
+        rows = np.flatnonzero(pivot == p)
+        place[rows] = np.arange(len(rows))
+        own = [np.frombuffer(bits[i], np.uint8) if bits[i] is not None else np.packbits(np.ones(n[i], bool)) for i in rows.tolist()]
+        tables[p] = np.array(own)
     for i in range(len(ids)):
-        other = np.flatnonzero((comps != comps[i]) & ((side != side[i]) | (side == 2)) & ((ids > ids[i]) | best))
+        other = np.flatnonzero((ids > ids[i]) & (comps != comps[i]) & ((side != side[i]) | (side == 2)))
+        both = np.minimum(shared[other], shared[i])
+        other = other[100 * both >= percent * (n[other] + n[i] - both)]
+        other = other[(sigs[other] != sigs[i]).sum(axis=1) <= NEAR]
         if not len(other):
             continue
-        same = (sigs[other] == sigs[i]).sum(axis=1)
-        if best:
-            k = np.lexsort((ids[other], -same))[0]
-            other, same = other[k : k + 1], same[k : k + 1]
-        ok = same >= CHUNKS * WIDTH - NEAR
-        out_a += np.minimum(ids[other[ok]], ids[i]).tolist()
-        out_b += np.maximum(ids[other[ok]], ids[i]).tolist()
-        out_n += same[ok].tolist()
-    return out_a, out_b, out_n
-
-
-def across(classes: DataFrame, best: bool) -> DataFrame:
-    """(a, b) of classes that share a key but no component yet and have near signatures, at most once each."""
+        alike = pivot[other] == pivot[i]
+        if alike.any():
+            table = tables[pivot[i]]
+            some = other[alike]
+            both = np.bitwise_count(table[place[some]] & table[place[i]]).sum(axis=1, dtype=np.int64) + np.minimum(beyond[some], beyond[i])
+            other = np.concatenate([other[~alike], some[100 * both >= percent * (n[some] + n[i] - both)]])
+        out_a += [int(ids[i])] * len(other)
+        out_b += ids[other].tolist()
+    return out_a, out_b
+
+
+def across(docs: DataFrame, classes: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a < b, of classes (id, n, comp, sig) that share a key but no component yet and may be similar enough."""
     keys = index_keys(classes)
-    mixed = keys.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low < high").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    members = keys.join(mixed, "key").join(classes.select("id", "sig"), "id")
+    mixed = keys.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("count")).where("low < high").select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    members = save(keys.join(mixed, "key").select("key", "id", "blocks"), "members")
+    open_ids = members.select("id").distinct()
+    known = classes.join(open_ids, "id").join(stars.select(F.col("b").alias("id"), F.col("a").alias("pivot"), "bits", "beyond"), "id", "left")
+    known = save(known.withColumn("pivot", F.coalesce("pivot", "id")).withColumn("beyond", F.coalesce("beyond", F.lit(0).cast("long"))), "open")
+    ids = save(known.selectExpr("explode(array(id, pivot)) AS id").distinct(), "open-ids")
+    # the pivots are among those counted, so a shingle that no other has is never one of the pivot's
+    own = save(lonely(docs, ids), "lonely")
+    known = known.join(own, "id", "left").withColumn("own", F.coalesce("own", F.lit(0).cast("long")))
+    known = known.withColumn("shared", F.col("n") - F.col("own")).withColumn("beyond", F.greatest(F.col("beyond") - F.col("own"), F.lit(0)))
+    # a class that no other can be similar enough to is out
+    known = known.where(100 * F.col("shared") >= percent * F.col("n")).drop("own")
+    members = members.join(known, "id")
     # a key of more than BLOCK members is cut into blocks, and each two blocks meet once
     members = members.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("mine", "other"), F.greatest("mine", "other")
-    members = members.select("key", low.alias("i"), high.alias("j"), F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") == low, 0).otherwise(1).alias("side"), "id", "comp", "sig")
+    side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") == low, 0).otherwise(1)
+    members = members.select("key", low.alias("i"), high.alias("j"), side.alias("side"), "id", "comp", "sig", "n", "shared", "pivot", "beyond", "bits")
 
     def run(table: pa.Table) -> pa.Table:
-        # a block meets itself only in the group i = j: there all are of side 2; elsewhere two sides meet
-        sigs = np.frombuffer(b"".join(table["sig"].to_pylist()), "<u2").reshape(-1, CHUNKS * WIDTH)
-        a, b, n = _near_pairs(table["id"].to_numpy(), table["comp"].to_numpy(), sigs, table["side"].to_numpy(), best)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int64())})
+        t = {c: table[c].to_numpy() for c in ("id", "comp", "side", "n", "shared", "pivot", "beyond")}
+        t["sig"] = np.frombuffer(b"".join(table["sig"].to_pylist()), "<u2").reshape(-1, CHUNKS * WIDTH)
+        a, b = _near_pairs(t, table["bits"].to_pylist(), percent)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    pairs = members.groupBy("key", "i", "j").applyInArrow(run, "a long, b long, n long").distinct()
-    if not best:
-        return pairs.select("a", "b")
-    ends = pairs.selectExpr("explode(array(a, b)) AS id", "a", "b", "n")
-    return ends.groupBy("id").agg(F.max_by(F.struct("a", "b"), F.struct("n", (-F.col("a")).alias("a"), (-F.col("b")).alias("b"))).alias("p")).select("p.a", "p.b").distinct()
+    return members.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -181,35 +226,22 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     An empty table gives no rows. kept marks each component's smallest doc_id.
     """
     rows = save(signatures(docs), "signatures")
-    sets = save(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")), "sets")
-    alone = sets.withColumn("comp", F.col("id"))
+    some = rows.where("n > 0 AND doc_id IS NOT NULL")
+    sets = save(some.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig")), "sets")
 
-    keys = index_keys(alone)
+    keys = index_keys(sets.withColumn("comp", F.col("id")))
     centres = keys.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("last")).where("a < last").select("key", "a")
-    meets = keys.join(centres, "key").where("id > a").groupBy("id", "a").agg(F.count("*").alias("n"))
-    star = meets.groupBy("id").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", F.col("id").alias("b"))
-    tested = [save(star, "pairs")]
-    links = [confirm(docs, tested[0], percent)]
-    comp = components(links[0])
-
-    for best in (True, False):
-        known = sets.join(comp.withColumnRenamed("comp", "c"), "id", "left").select("id", "sig", F.coalesce("c", "id").alias("comp"))
-        left = save(known, "classes")
-        done = tested[0] if len(tested) == 1 else tested[0].unionByName(tested[1])
-        pairs = save(across(left, best).join(done, ["a", "b"], "left_anti"), "pairs")
-        drop(left)
-        tested.append(pairs)
-        if pairs.isEmpty():
-            if best:
-                continue
-            break
-        links.append(confirm(docs, pairs, percent))
-        if not links[-1].isEmpty():
-            every = links[0]
-            for more in links[1:]:
-                every = every.unionByName(more)
-            drop(comp)
-            comp = components(every)
+    meets = keys.join(centres, "key").where("id > a").groupBy("id", "a").agg(F.count("*").alias("count"))
+    pairs = save(meets.groupBy("id").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a")).select("a", F.col("id").alias("b")), "pairs")
+    stars = confirm(docs, pairs, percent)
+    comp = components(stars.where("linked"))
+
+    classes = save(sets.join(comp.withColumnRenamed("comp", "c"), "id", "left").select("id", "n", F.coalesce("c", "id").alias("comp"), "sig"), "classes")
+    more = save(across(docs, classes, stars, percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    if not more.isEmpty():
+        rest = confirm(docs, more, percent).where("linked")
+        if not rest.isEmpty():
+            comp = components(stars.where("linked").select("a", "b").unionByName(rest.select("a", "b")))
 
     classes = sets.select("key", "id").join(comp, "id", "left").select("key", F.coalesce("comp", "id").alias("comp"))
     named = F.coalesce("comp", "doc_id")
