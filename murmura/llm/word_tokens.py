@@ -6,6 +6,7 @@ Chunks are kept as little-endian 16-bit ids (32-bit for larger vocabularies), so
 
 from __future__ import annotations
 
+import json
 from unicodedata import normalize
 
 import numpy as np
@@ -14,15 +15,26 @@ import numpy as np
 TAIL = '.,;:!?"#$%&()*+-/@[]^_`{|}~'
 
 
+def _byte_alphabet() -> dict[int, int]:
+    """The printable character that stands for each byte: itself if it is visible, else the next from 256 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in seen]
+    return {b: b for b in seen} | {b: 256 + i for i, b in enumerate(rest)} | {32: 32}
+
+
+BYTES = _byte_alphabet()
+
+
 def _word(chunk: str) -> bool:
     """Letters only, before and after normalisation (which can part a mark from its letter)."""
-    return chunk.isalpha() and (chunk.isascii() or normalize("NFC", chunk).lower().isalpha())
+    return chunk.isalpha() and "\u03a3" not in chunk and (chunk.isascii() or normalize("NFC", chunk).lower().isalpha())
 
 
 class ChunkTokenizer:
-    """Ids of texts; ``limit`` bounds the number of cached chunks (about 150 bytes each)."""
+    """Ids of texts. The cache has two generations of at most ``limit`` chunks (about 150 bytes each): when the young one is
+    full it becomes the old one, from which chunks that are met again are taken back."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 220_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -32,25 +44,46 @@ class ChunkTokenizer:
         self.tok.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 65536 else "<u4")
         self.limit = limit
+        self.plain = self._merges_only()
+        self.lowers = self.tok.normalizer is not None and self.tok.normalizer.normalize_str("Ab") == "ab"
         self.cache: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
         self.ends = np.zeros(self.tok.get_vocab_size(), bool)
         for piece, i in self.tok.get_vocab().items():
             self.ends[i] = piece.endswith("</w>")
 
+    def _merges_only(self):
+        """The same vocabulary without normaliser and pattern, if those are the ones known to leave lower-case words alone."""
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        setup = json.loads(self.tok.to_str())
+        kinds = [[x["type"] for x in (setup[k] or {}).get(k + "s" if k == "normalizer" else "pretokenizers", [])] for k in ("normalizer", "pre_tokenizer")]
+        if kinds != [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]]:
+            return None
+        plain = Tokenizer.from_str(self.tok.to_str())
+        plain.normalizer = normalizers.Sequence([])
+        plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        plain.encode_special_tokens = True
+        return plain
+
     def _raw(self, ids) -> bytes:
         return np.array(ids, self.dtype).tobytes()
 
     def _letters(self, words: list[str]) -> None:
         """Words of letters only: each is one piece, whose last id ends a word. Checked by count; else one by one."""
-        for i in range(0, len(words), 512):
-            some = words[i : i + 512]
-            ids = np.array(self.tok.encode(" ".join(some), add_special_tokens=False).ids, np.int64)
+        groups = [words[i : i + 512] for i in range(0, len(words), 512)]
+        step, cache, whole = self.dtype.itemsize, self.cache, self.tok
+        joined = [" ".join(g) for g in groups]
+        if self.plain is not None:  # the letters as the byte alphabet has them, so that nothing but the merges is left to do
+            whole = self.plain
+            joined = [j.lower() if j.isascii() else normalize("NFC", j).lower().encode().decode("latin-1").translate(BYTES) for j in joined]
+        for some, e in zip(groups, whole.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self.dtype)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(some):
-                raw, step = ids.astype(self.dtype).tobytes(), self.dtype.itemsize
-                at = [0, *(cuts * step).tolist()]
-                for k, w in enumerate(some):
-                    self.cache[w] = raw[at[k] : at[k + 1]]
+                raw = ids.tobytes()
+                at = (cuts * step).tolist()
+                cache.update(zip(some, [raw[a:b] for a, b in zip([0, *at], at)]))
             else:
                 self._single(some)
 
@@ -59,27 +92,41 @@ class ChunkTokenizer:
             self.cache[c] = self._raw(e.ids)
 
     def learn(self, chunks: set[str]) -> None:
+        """Chunks of the old generation are taken back; letters, and letters before punctuation, are encoded as words."""
+        cache, old = self.cache, self.old
         letters, both, single = set(), [], set()
         for c in chunks:
-            if _word(c):
-                letters.add(c)
-            elif _word(core := c.rstrip(TAIL)):
-                both.append((c, core, c[len(core) :]))
-                if core not in self.cache:
-                    letters.add(core)
-                if c[len(core) :] not in self.cache:
-                    single.add(c[len(core) :])
+            if c in old:
+                cache[c] = old[c]
+            elif c.isalpha():
+                (letters if c.isascii() or _word(c) else single).add(c)
             else:
-                single.add(c)
+                core = c[:-1]  # most have one mark at the end
+                if c[-1] not in TAIL or not core.isalpha():
+                    core = c.rstrip(TAIL)
+                if core.isalpha() and (core.isascii() or _word(core)):
+                    both.append((c, core, c[len(core) :]))
+                else:
+                    single.add(c)
+        for _, core, tail in both:
+            if core not in cache:
+                letters.add(core)
+            if tail not in cache:
+                single.add(tail)
+        for core in [c for c in letters if c in old]:
+            cache[core] = old[core]
+            letters.discard(core)
         self._letters(list(letters))
         self._single(list(single))
         for c, core, tail in both:
-            self.cache[c] = self.cache[core] + self.cache[tail]
+            cache[c] = cache[core] + cache[tail]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.cache) > self.limit:
-            self.cache = {"": b""}
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+            self.old, self.cache = self.cache, {"": b""}
+        # the vocabulary is of lower-cased text; lowering ASCII text beforehand changes nothing else
+        lower = [t.lower() if t.isascii() else t for t in texts] if self.lowers else texts
+        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in lower]
         seen: set[str] = set()
         for words in split:
             seen.update(words)
