@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .plans import QUERIES, SQL, evaluating, features, learning, preparing, relating  # noqa: F401
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
