@@ -5,14 +5,19 @@ A document's shingles are cut into windows of 8 that start every 4; a template l
 of a window. A notice of 3 shingles lies in one window whole, where its similarity is at least 3/8, so that some band
 meets it with probability 1 - (5/8) ** 16 = 0.9995; longer ones do better, and a long template has many windows. A template
 met by any band is verified: the part of its shingles that the whole document holds must reach the threshold. The
-templates are a bounded parameter and stand in the plan as literals: there is no shuffle, whatever the skew.
+templates are a bounded parameter and stand in the plan as literals. Windows are rows, so that their min-hashes are compiled
+code; only the few (document, template) meetings are shuffled, and the texts they name are read again where they are.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import near_ids, save
+
 SHINGLE, WINDOW, STRIDE, BANDS = 3, 8, 4, 16
 
 #: Notices by license.
@@ -48,15 +53,20 @@ def _turn(band: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _with_bands(df: DataFrame) -> DataFrame:
-    """Columns b0..b15: the band's min-hash of each window (one null without a shingle).
+def _windows() -> Column:
+    """The windows of ``shingles`` as arrays; one, empty, without a shingle."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size("shingles"), F.lit(1)), F.lit(STRIDE)), lambda s: F.slice("shingles", s, WINDOW))
+
+
+def _items() -> list[Column]:
+    """The shingles of window ``w`` as columns x0..x7; a short window repeats its first, an empty one has nulls."""
+    first = F.get("w", F.lit(0))
+    return [F.coalesce(F.get("w", F.lit(j)), first).alias(f"x{j}") for j in range(WINDOW)]
+
 
-    Turned hashes are a column first, which all windows read: what a lambda refers to once is computed in it, for each
-    element. For the same reason nothing here filters on a computed array, as filters move below what they refer to."""
-    for band in range(BANDS):
-        df = df.withColumn("__turned", F.transform("shingles", lambda x: x.bitwiseXOR(F.lit(_turn(band)))))  # noqa: B023
-        df = df.withColumn(f"b{band}", F.transform(F.sequence(F.lit(1), F.greatest(F.size("__turned"), F.lit(1)), F.lit(STRIDE)), lambda s: F.array_min(F.slice("__turned", s, WINDOW)))).drop("__turned")
-    return df
+def _bands() -> list[Column]:
+    """The min-hashes of x0..x7, a band each."""
+    return [F.least(*[F.col(f"x{j}").bitwiseXOR(F.lit(_turn(k))) for j in range(WINDOW)]) for k in range(BANDS)]
 
 
 def _index(spark: SparkSession, templates: dict[str, list[str]]) -> list[dict]:
@@ -64,8 +74,9 @@ def _index(spark: SparkSession, templates: dict[str, list[str]]) -> list[dict]:
     texts = [(name, text) for name, all_texts in sorted(templates.items()) for text in all_texts]
     df = spark.createDataFrame(texts, "license string, text string").withColumn("words", _words(F.col("text")))
     df = df.withColumn("shingles", _shingles("words")).where(F.size("shingles") > 0)
-    rows = _with_bands(df).select("license", F.array_distinct("shingles").alias("shingles"), *[f"b{k}" for k in range(BANDS)]).collect()
-    return [r.asDict() for r in rows]
+    rows = df.select("license", F.array_distinct("shingles").alias("shingles"), F.transform(_windows(), lambda w: w).alias("ws")).select("license", "shingles", F.posexplode("ws").alias("n", "w"))
+    rows = rows.select("license", "shingles", *_items()).select("license", "shingles", F.array(*_bands()).alias("keys")).groupBy("license", "shingles").agg(F.array_distinct(F.flatten(F.collect_list("keys"))).alias("keys"))
+    return sorted((r.asDict() for r in rows.collect()), key=lambda r: (r["license"], r["shingles"]))  # a row a template
 
 
 def _longs(values) -> Column:
@@ -84,12 +95,24 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, contain
     index = _index(docs.sparkSession, TEMPLATES if templates is None else templates)
     if not index:
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit("").alias("license"), F.lit(0).alias("shingles"), F.lit(0).alias("found"), F.lit(0.0).alias("containment")).where("false")
-    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _words(F.col("text")).alias("words"))
-    df = df.select("doc_id", _shingles("words").alias("shingles"))
-    hits = [F.array_intersect(f"b{k}", _longs(v for t in index for v in t[f"b{k}"])) for k in range(BANDS)]
-    df = _with_bands(df).select("doc_id", "shingles", F.concat(*hits).alias("met"))
-    known = F.array(*[F.struct(F.lit(t["license"]).alias("license"), _longs(t["shingles"]).alias("shingles"), _longs(v for k in range(BANDS) for v in t[f"b{k}"]).alias("keys")) for t in index])
-    near = F.when(F.size("met") > 0, F.filter(known, lambda t: F.arrays_overlap(t["keys"], F.col("met"))))
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # what a lambda or a filter refers to is computed in it, so shingles and windows are columns of their own, referred to
+    # more than once, and windows are exploded without a filter on their number
+    shingled = lambda df: df.select("doc_id", _words(F.col("text")).alias("words")).select("doc_id", _shingles("words").alias("shingles"))
+    wanted = sorted({k for t in index for k in t["keys"]})
+    met = shingled(rows.where("doc_id IS NOT NULL")).select("doc_id", F.explode_outer(_windows()).alias("w")).select("doc_id", *_items())
+    # the higher-order function keeps this filter out of whole-stage code: as one method it would be too long for the JVM to
+    # compile, as an ordinary predicate it is cut into short ones
+    plain = F.exists(F.array("x0"), lambda x: x.isNotNull())
+    met = met.where(reduce(lambda a, b: a | b, [b.isin(wanted) for b in _bands()]) & plain).select("doc_id", F.explode(F.array(*_bands())).alias("key"))
+    of = spark.createDataFrame([(i, k) for i, t in enumerate(index) for k in t["keys"]], "template int, key long")
+    met = save(met.join(F.broadcast(of), "key").groupBy("doc_id").agg(F.collect_set("template").alias("templates")), "licenses-met")
+    # texts without a doc_id can't be asked for by it: all templates are verified on them
+    again = near_ids(rows.where("doc_id IS NOT NULL"), met, "doc_id", "left_semi").select("doc_id", "text").unionByName(rows.where("doc_id IS NULL"))
+    df = shingled(again).join(met.withColumnRenamed("doc_id", "__doc"), F.col("doc_id") == F.col("__doc"), "left").drop("__doc")
+    known = F.array(*[F.struct(F.lit(i).alias("template"), F.lit(t["license"]).alias("license"), _longs(t["shingles"]).alias("shingles")) for i, t in enumerate(index)])
+    near = F.filter(known, lambda t: F.col("templates").isNull() | F.array_contains("templates", t["template"]))
     checked = F.transform(near, lambda t: F.struct(t["license"].alias("license"), t["shingles"].alias("whole"), F.array_intersect(t["shingles"], F.col("shingles")).alias("held")))
     df = df.select("doc_id", F.filter(checked, lambda t: F.size(t["held"]) >= containment * F.size(t["whole"])).alias("all"))
     part = lambda t: F.struct((F.size(t["held"]) / F.size(t["whole"])).alias("containment"), F.size(t["whole"]).alias("shingles"))
