@@ -135,34 +135,39 @@ def read_block(code: Code, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def tokenise(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """(doc_id, n, ids): the ids of each whole text (null: empty) with the end id, as little-endian bytes."""
+    """(doc_id, n, ids): the ids of each whole text (null: empty) with the end id, as little-endian bytes; and from each
+    task a row without doc_id, n = -1, whose ids are its counts of all symbols."""
 
     small_batches(docs.sparkSession)
 
     def run(batches):
         tok = chunk_tokenizer(tokenizer)
         end = np.array([end_id], tok.dtype)
+        total = np.zeros(max(tok.tok.get_vocab_size(), end_id + 1), np.int64)
+        row = lambda doc, n, ids: pa.RecordBatch.from_arrays([doc, pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n", "ids"])
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 ids = [np.concatenate([x, end]) for x in tok.encode(texts_of(part))]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], ["doc_id", "n", "ids"])
+                total += np.bincount(np.concatenate(ids), minlength=len(total))
+                yield row(part.column(0), [len(x) for x in ids], [x.tobytes() for x in ids])
+        yield row(pa.array([None], pa.int64()), [-1], [total.tobytes()])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, n long, ids binary")
 
 
-def count_symbols(tokens: DataFrame, vocab: int, dtype: str) -> np.ndarray:
-    """Global counts: each task sends one row for each symbol it has at most; the result is bounded by the vocabulary."""
+def count_symbols(tokens: DataFrame, vocab: int) -> np.ndarray:
+    """Global counts from the tasks' rows, summed by symbol: what reaches the driver is bounded by the vocabulary."""
 
     def run(batches):
         total = np.zeros(vocab, np.int64)
         for batch in batches:
-            raw = b"".join(x.as_py() for x in batch.column(0))
-            total += np.bincount(np.frombuffer(raw, dtype), minlength=vocab)
+            for raw in batch.column(0):
+                total += np.frombuffer(raw.as_py(), np.int64)
         has = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(has, pa.int32()), pa.array(total[has])], ["symbol", "c"])
 
     counts = np.zeros(vocab, np.int64)
-    for r in tokens.select("ids").mapInArrow(run, "symbol int, c long").groupBy("symbol").agg(F.sum("c").alias("c")).collect():
+    for r in tokens.where("n = -1").select("ids").mapInArrow(run, "symbol int, c long").groupBy("symbol").agg(F.sum("c").alias("c")).collect():
         counts[r["symbol"]] = r["c"]
     return counts
 
@@ -178,7 +183,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int = 2, max_bits: int =
     tok = chunk_tokenizer(tokenizer)
     dtype, vocab = tok.dtype.str, max(tok.tok.get_vocab_size(), end_id + 1)
     tokens = save(tokenise(docs, tokenizer, end_id), "token-ids")
-    counts = count_symbols(tokens, vocab, dtype)
+    counts = count_symbols(tokens, vocab)
     lengths = code_lengths(counts, max_bits)
     book = shared(spark, "codebook", lengths)
 
@@ -204,15 +209,16 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int = 2, max_bits: int =
 
     path = new_path(spark, "huffman")
     files = max(spark.sparkContext.defaultParallelism, -(-int(counts.sum()) // tokens_per_file))
-    ordered = tokens.select("doc_id", "ids").repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id")
+    ordered = tokens.where("n >= 0").select("doc_id", "ids").repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id")
     ordered.mapInArrow(run, BLOCKS).write.parquet(f"{path}/blocks")
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").coalesce(1).write.parquet(f"{path}/codebook")
     drop(tokens)
     return path
 
 
-def read_ids(spark, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids binary as little-endian unsigned 32-bit): decoded from the files.
+def read_ids(spark, path: str, checksums: bool = False) -> DataFrame:
+    """(doc_id, start, n_tokens, ids binary as little-endian unsigned 32-bit): decoded from the files. With ``checksums``
+    the ids' crc32 (ids_crc32 long) in their place.
 
     A block's start is the sum of all tokens in earlier files, and of those before it in its file, which its row has;
     only one number a file goes to the driver. Any task can read any block.
@@ -226,6 +232,8 @@ def read_ids(spark, path: str) -> DataFrame:
         total += r["n"]
     book = shared(spark, "codebook", (np.frombuffer(bytes(lengths), np.uint8), base))
 
+    name = "ids_crc32" if checksums else "ids"
+
     def run(batches):
         lengths, base = book.value
         code = Code(lengths)
@@ -236,6 +244,7 @@ def read_ids(spark, path: str) -> DataFrame:
                 starts = base[file] + before + ends - sizes
                 ids32 = ids.astype("<u4")
                 each = [ids32[e - n : e].tobytes() for e, n in zip(ends.tolist(), sizes.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(starts), pa.array(sizes), pa.array(each, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+                last = pa.array([*map(zlib.crc32, each)], pa.int64()) if checksums else pa.array(each, pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(starts), pa.array(sizes), last], ["doc_id", "start", "n_tokens", name])
 
-    return blocks.select("file", "before", "body").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return blocks.select("file", "before", "body").mapInArrow(run, f"doc_id long, start long, n_tokens long, {name} {'long' if checksums else 'binary'}")

@@ -82,7 +82,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 def op10_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = huffman.write_ids(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=2)
-    return huffman.read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return huffman.read_ids(spark, path, checksums=True)
 
 
 def queries() -> dict:
