@@ -71,7 +71,7 @@ def timestamp_in_name(name: Column) -> Column:
 
 
 def timestamp_of(stamp: Column) -> Column:
-    return F.to_timestamp(F.regexp_replace(stamp, "_", ":"), F.lit("yyyy-MM-dd'T'HH:mm:ss"))
+    return F.to_timestamp(F.regexp_replace(stamp, "_", ":"), "yyyy-MM-dd'T'HH:mm:ss")
 
 
 def first_integer(text: Column) -> Column:
