@@ -208,7 +208,7 @@ def match_detections(truth: DataFrame, predictions: DataFrame, tolerance: float,
     if mode == "detection":
         p = p.withColumn("confidence", F.col("det_prob"))
     elif mode == "per_class":
-        p = p.withColumn("confidence", F.element_at("class_probs", class_of_interest + 1))
+        p = p.withColumn("confidence", F.coalesce(F.get("class_probs", F.lit(class_of_interest)), F.lit(0.0)))
         t = t.where(F.col("class_id").isin(class_of_interest, -1))
     elif mode == "top_class":
         p = p.withColumn("confidence", F.array_max("class_probs")).withColumn("__top", F.array_position("class_probs", F.array_max("class_probs")) - 1)
