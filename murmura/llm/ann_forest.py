@@ -104,6 +104,8 @@ def nearest(table: DataFrame, k: int = 10, every: int = 100, trees: int = 8, sam
     rows = save(usable(table, zero=False), "vectors")
     total = rows.count()
     spark = table.sparkSession
+    if not total:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     chosen = rows if total <= sample else rows.where(F.pmod(F.xxhash64(F.col("vec_id"), F.lit(seed)), F.lit(1 << 20)) < int(sample / total * (1 << 20)))
     fitted = chosen.select("vec_id", "v").collect()
     fitted.sort(key=lambda r: r["vec_id"])

@@ -73,7 +73,7 @@ class Code:
     def table(self) -> np.ndarray:
         """For each window of ``width`` bits: symbol * 64 + length of its code."""
         if self._table is None:
-            self._table = np.zeros(1 << self.width, np.int64)
+            self._table = np.zeros(1 << self.width, np.int32)
             filled = np.repeat(self.symbols.astype(np.int64) * 64 + self.lengths[self.symbols], self._span)
             self._table[: len(filled)] = filled
         return self._table
@@ -97,7 +97,7 @@ class Code:
         """All lanes between checkpoints advance together, one symbol a step."""
         words = np.concatenate([words.astype(np.uint64), np.zeros(2, np.uint64)])
         pairs = (words[:-1] << np.uint64(32)) | words[1:]
-        at, out = marks.astype(np.int64), np.zeros((len(marks), CHECKPOINT), np.int64)
+        at, out = marks.astype(np.int64), np.zeros((len(marks), CHECKPOINT), np.int32)
         last = count - (len(marks) - 1) * CHECKPOINT
         shift = 64 - self.width
         table = self.table
@@ -142,14 +142,14 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
     def run(batches):
         tok = chunk_tokenizer(tokenizer)
-        end = np.array([end_id], tok.dtype)
+        end, step = np.array([end_id], tok.dtype).tobytes(), tok.dtype.itemsize
         total = np.zeros(max(tok.tok.get_vocab_size(), end_id + 1), np.int64)
         row = lambda doc, n, ids: pa.RecordBatch.from_arrays([doc, pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n", "ids"])
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                ids = [np.concatenate([x, end]) for x in tok.encode(texts_of(part))]
-                total += np.bincount(np.concatenate(ids), minlength=len(total))
-                yield row(part.column(0), [len(x) for x in ids], [x.tobytes() for x in ids])
+                ids = [raw + end for raw in tok.encode_raw(texts_of(part))]
+                total += np.bincount(np.frombuffer(b"".join(ids), tok.dtype), minlength=len(total))
+                yield row(part.column(0), [len(raw) // step for raw in ids], ids)
         yield row(pa.array([None], pa.int64()), [-1], [total.tobytes()])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, n long, ids binary")

@@ -272,4 +272,4 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, slack: fl
     overall = good.agg(limit).first()[0] or float("inf")
     limits = limits.withColumnRenamed("lang", "__lang")
     out = scores.join(limits, F.col("lang").eqNullSafe(F.col("__lang")), "left").withColumn("threshold", F.coalesce("own", F.lit(overall)))
-    return out.select("doc_id", "lang", "n_bytes", "perplexity", "threshold", ((F.col("n_bytes") == 0) | ((F.col("n_bytes") + 1) * F.log(F.col("perplexity") / F.col("threshold")) <= evidence)).alias("accepted"))
+    return out.select("doc_id", "lang", "n_bytes", "perplexity", "threshold", ((F.col("n_bytes") == 0) | (F.col("perplexity") <= F.col("threshold")) | ((F.col("n_bytes") + 1) * F.log(F.col("perplexity") / F.col("threshold")) <= evidence)).alias("accepted"))

@@ -122,6 +122,10 @@ class ChunkTokenizer:
             cache[c] = cache[core] + cache[tail]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.frombuffer(raw, self.dtype) for raw in self.encode_raw(texts)]
+
+    def encode_raw(self, texts: list[str]) -> list[bytes]:
+        """The ids as the bytes of ``dtype``."""
         if len(self.cache) > self.limit:
             self.old, self.cache = self.cache, {"": b""}
         # the vocabulary is of lower-cased text; lowering ASCII text beforehand changes nothing else
@@ -134,7 +138,7 @@ class ChunkTokenizer:
         if missing:
             self.learn(missing)
         get = self.cache.__getitem__
-        return [np.frombuffer(b"".join(map(get, words)), self.dtype) for words in split]
+        return [b"".join(map(get, words)) for words in split]
 
 
 _made: dict[str, ChunkTokenizer] = {}
