@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from ..functions.names import species, time_from_name
 from ..functions.scalars import quoted
 from ..functions.times import cycle_columns, sunrise_sunset
+from .ranges import number
 from .shaping import Condition, condition
 
 #: A lookup table of at most so many rows may be broadcast; Spark chooses for a longer one.
@@ -34,14 +35,8 @@ def concat(frames: Sequence[DataFrame], strict: bool = True) -> DataFrame:
 
 
 def with_row_numbers(df: DataFrame, order: Sequence[str], name: str = "row_num") -> DataFrame:
-    """Dense numbers from 0 in an order without ties: within ranges of it, whose sizes are added up."""
-    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    keys = [*map(quoted, order)]
-    ranged = df.repartitionByRange(parts, *keys).withColumn("__part", F.spark_partition_id())
-    sizes = ranged.groupBy("__part").count()
-    before = sizes.select("__part", (F.sum("count").over(W.orderBy("__part")) - F.col("count")).alias("__before"))
-    inside = F.row_number().over(W.partitionBy("__part").orderBy(*keys))
-    return ranged.withColumn("__n", inside).join(F.broadcast(before), "__part").withColumn(name, (F.col("__n") + F.col("__before") - 1).cast("long")).drop("__part", "__n", "__before")
+    """Dense numbers from 0 in an order without ties."""
+    return number(df, order, name)
 
 
 def lookup(df: DataFrame, dimension: DataFrame, on: Sequence[str], needed: str | None = None) -> DataFrame:

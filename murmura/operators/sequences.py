@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.scalars import quoted
+from .ranges import number
 
 
 def configuration(df: DataFrame, file: str, minimum: int) -> DataFrame:
@@ -26,15 +27,8 @@ def with_index(df: DataFrame, file: str, order: Sequence[str], name: str = "chir
 
 
 def file_ids(df: DataFrame, file: str, name: str = "file_id") -> DataFrame:
-    """(file, id): files numbered from 0 in their order. Numbers are given to the distinct names: within ranges of names,
-    whose sizes are added up, so no task sees them all."""
-    names = df.select(quoted(file)).where(quoted(file).isNotNull()).distinct()
-    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = names.repartitionByRange(parts, quoted(file)).withColumn("__part", F.spark_partition_id())
-    sizes = ranged.groupBy("__part").count()  # a row a partition
-    before = sizes.select("__part", (F.sum("count").over(W.orderBy("__part")) - F.col("count")).alias("__before"))
-    inside = F.row_number().over(W.partitionBy("__part").orderBy(quoted(file)))
-    return ranged.withColumn("__n", inside).join(F.broadcast(before), "__part").select(quoted(file), (F.col("__n") + F.col("__before") - 1).cast("long").alias(name))
+    """(file, id): files numbered from 0 in their order; numbers are given to the distinct names."""
+    return number(df.select(quoted(file)).where(quoted(file).isNotNull()).distinct(), [file], name)
 
 
 def sample_counts(df: DataFrame, file: str, minimum: int, index: str = "chirp_idx") -> DataFrame:

@@ -256,3 +256,11 @@ def test_clusters_and_classes(spark):
     with pytest.raises(TypeError):
         ml.tsne(df, ["x", "y"], "id", 5)
     assert ml.tsne(df, ["x", "y"], "id", 5.0, rows=30, iterations=50).count() == 30
+
+
+def test_row_numbers_with_nulls_and_a_hot_value(spark):
+    rows = [(None, 0), ("b", 1), ("a", 2)] + [("hot", i) for i in range(3, 400)] + [("z", 1000 - i) for i in range(100)]
+    df = spark.createDataFrame(rows, "k string, i int").repartition(7)
+    got = [(r["k"], r["i"]) for r in relational.with_row_numbers(df, ["k", "i"]).orderBy("row_num").collect()]
+    assert got == sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1]))
+    assert relational.with_row_numbers(df.where("false"), ["k", "i"]).count() == 0
