@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches, texts_of
+from .common import keeps, make_room, slices, small_batches, texts_of
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -241,7 +241,7 @@ class Utf8Stream:
 
     TABLE = utf8_table()
     #: by vocabulary: moves by (state, token), and whether a token is whole characters from state 0 on
-    known: dict[int, tuple[dict, bytearray]] = {}
+    known: dict[int, tuple[dict, bytearray, dict]] = {}
 
     def __init__(self, vocab: dict[int, bytes]):
         self.vocab, self.state, self.held = vocab, 0, b""
@@ -249,8 +249,8 @@ class Utf8Stream:
             whole = bytearray(max(vocab) + 1)
             for t in vocab:
                 whole[t] = self._over(0, t) == (0, 0)
-            self.known[id(vocab)] = {}, whole
-        self.memo, self.whole = self.known[id(vocab)]
+            self.known[id(vocab)] = {}, whole, vocab  # held, so that the id stays its own
+        self.memo, self.whole, _ = self.known[id(vocab)]
 
     def _over(self, state: int, token: int) -> tuple[int, int]:
         """(state after the token, how many of its last bytes belong to an unfinished character; -1: all and more).
@@ -297,8 +297,17 @@ class Utf8Stream:
 _made: dict[tuple[str, str], tuple[Encoder, dict[int, bytes]]] = {}
 
 
+def _clear() -> None:
+    _made.clear()
+    Utf8Stream.known.clear()
+
+
+keeps("byte tokens", _clear)
+
+
 def coder(path: str, pattern: str) -> tuple[Encoder, dict[int, bytes]]:
     """One encoder per worker process, kept for its later tasks."""
+    make_room("byte tokens")
     if (path, pattern) not in _made:
         ranks = read_ranks(path)
         _made[path, pattern] = Encoder(ranks, pattern), {i: b for b, i in ranks.items()}

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -66,6 +68,31 @@ def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
+_caches: dict[str, Callable[[], None]] = {}
+_running = ""
+
+
+def keeps(name: str, clear: Callable[[], None]) -> None:
+    """Say how to clear what the operators of one ``name`` keep in a worker process between tasks."""
+    _caches[name] = clear
+
+
+def make_room(name: str) -> None:
+    """A worker process serves many operators: when another one starts, what the others keep is cleared and freed memory
+    goes back to the system."""
+    global _running
+    if name == _running:
+        return
+    _running = name
+    for other, clear in _caches.items():
+        if other != name:
+            clear()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
     """Row ranges of ``batch`` whose ``column`` holds about ``limit`` bytes; a longer single value is a range of its own."""
     col = batch.column(batch.schema.get_field_index(column))

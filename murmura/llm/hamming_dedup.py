@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, near_ids, save, slices, small_batches, texts_of
+from .common import drop, make_room, near_ids, save, slices, small_batches, texts_of
 from .shingles import MinHash, mix, shingle_sets
 
 CHUNKS, WIDTH = 12, 5
@@ -39,6 +39,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches):
+        make_room("shingles")
         minhash = MinHash(CHUNKS * WIDTH)
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
@@ -91,6 +92,7 @@ def confirm(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     texts = save(_texts(docs, ids).mapInArrow(squeeze, "id long, z binary"), "pair-texts")
 
     def compare(batches):
+        make_room("shingles")
         a, held = None, None
         for batch in batches:
             out = []

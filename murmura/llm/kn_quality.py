@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, near_ids, save, shared, slices, small_batches
+from .common import drop, make_room, near_ids, save, shared, slices, small_batches
 
 ORDER = 5
 START, END = b"\x02" * (ORDER - 1), b"\x03"
@@ -183,8 +183,9 @@ def perplexity(docs: DataFrame, counts: DataFrame) -> DataFrame:
     small_batches(spark)
 
     def ask(batches):
+        make_room("quality")
         for rows in _blocks(batches, ()):
-            asked = np.unique(np.concatenate([grams([r[2] for r in rows[i : i + 64]])[0] for i in range(0, len(rows), 64)]))
+            asked = np.unique(np.concatenate([np.unique(grams([r[2] for r in rows[i : i + 64]])[0]) for i in range(0, len(rows), 64)]))
             of = ((asked >> 8) & 0xFFFF) * 2654435761 % 4294967296 % shards
             order = np.argsort(of, kind="stable")
             asked, of = asked[order], of[order]
@@ -202,6 +203,7 @@ def perplexity(docs: DataFrame, counts: DataFrame) -> DataFrame:
         return pa.table({"block": right["block"], "asked": right["asked"], "logs": pa.array(out, pa.binary())})
 
     def texts(batches):
+        make_room("quality")
         for rows in _blocks(batches, ()):
             z = zlib.compress(b"\x01".join(r[2] for r in rows), 6)
             yield pa.RecordBatch.from_arrays([pa.array([_name(rows)], pa.int64()), pa.array([[r[0] for r in rows]], pa.list_(pa.int64())), pa.array([[r[1] for r in rows]], pa.list_(pa.string())), pa.array([z], pa.binary())], ["block", "ids", "langs", "z"])

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import shared, slices, small_batches
+from .common import make_room, shared, slices, small_batches
 
 BUCKETS = 1 << 14
 _letter: np.ndarray | None = None
@@ -134,6 +134,7 @@ def predict(docs: DataFrame, model: KernelRidge | None) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches):
+        make_room("language")
         model = box.value
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
