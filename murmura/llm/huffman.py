@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, new_path, save, shared, slices, small_batches, texts_of
+from .common import drop, make_room, new_path, save, shared, slices, small_batches, texts_of
 from .word_tokens import chunk_tokenizer
 
 MAGIC = 0x48554631
@@ -188,6 +188,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int = 2, max_bits: int =
     book = shared(spark, "codebook", lengths)
 
     def run(batches):
+        make_room("token files")
         code, ids, names, held, k, before = Code(book.value), [], [], 0, 0, 0
 
         def row():
@@ -235,6 +236,7 @@ def read_ids(spark, path: str, checksums: bool = False) -> DataFrame:
     name = "ids_crc32" if checksums else "ids"
 
     def run(batches):
+        make_room("token files")
         lengths, base = book.value
         code = Code(lengths)
         for batch in batches:

@@ -11,6 +11,8 @@ from unicodedata import normalize
 
 import numpy as np
 
+from .common import keeps, make_room
+
 #: ASCII punctuation that the split pattern keeps as one piece after a word (the apostrophe starts other rules).
 TAIL = '.,;:!?"#$%&()*+-/@[]^_`{|}~'
 
@@ -31,10 +33,10 @@ def _word(chunk: str) -> bool:
 
 
 class ChunkTokenizer:
-    """Ids of texts. The cache has two generations of at most ``limit`` chunks (about 150 bytes each): when the young one is
+    """Ids of texts. The cache has two generations of at most ``limit`` chunks (about 200 bytes each): when the young one is
     full it becomes the old one, from which chunks that are met again are taken back."""
 
-    def __init__(self, path: str, limit: int = 220_000):
+    def __init__(self, path: str, limit: int = 500_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -142,10 +144,12 @@ class ChunkTokenizer:
 
 
 _made: dict[str, ChunkTokenizer] = {}
+keeps("word tokens", _made.clear)
 
 
 def chunk_tokenizer(path: str) -> ChunkTokenizer:
     """One tokenizer per worker process, kept for its later tasks."""
+    make_room("word tokens")
     if path not in _made:
         _made[path] = ChunkTokenizer(path)
     return _made[path]
