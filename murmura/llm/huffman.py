@@ -25,8 +25,10 @@ BLOCKS = "block long, first_doc long, before long, n_tokens long, body binary"
 
 
 def code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
-    """Package-merge: optimal lengths of at most ``limit`` bits for the symbols with a count; 0 for the others."""
+    """Package-merge (at most 26 bits): optimal lengths of at most ``limit`` bits for the symbols with a count; 0 for the others."""
     used = np.flatnonzero(counts)
+    if limit > 26:
+        raise ValueError("at most 26 bits")
     if len(used) > 1 << limit:
         raise ValueError(f"{len(used)} symbols need more than {limit} bits")
     lengths = np.zeros(len(counts), np.uint8)
@@ -66,6 +68,8 @@ class Code:
         start = np.cumsum(span) - span
         self.codes = np.zeros(len(lengths), np.uint64)
         self.codes[self.symbols] = (start >> (self.width - size)).astype(np.uint64)
+        #: code * 64 + length, so that a symbol's is one look-up
+        self._both = (self.codes << np.uint64(6) | lengths.astype(np.uint64)).astype(np.uint32)
         self._start, self._span = start, span
         self._table: np.ndarray | None = None
 
@@ -80,14 +84,15 @@ class Code:
 
     def encode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(32-bit words, bit offset of every ``CHECKPOINT``-th symbol)."""
-        size = self.lengths[ids].astype(np.int64)
+        both = self._both[ids]
+        size = (both & np.uint32(63)).astype(np.int64)
         end = np.cumsum(size)
         at = end - size
         bits = int(end[-1]) if len(end) else 0
         words = np.zeros(bits // 32 + 3, np.uint64)
         if len(ids):
             word = at >> 5
-            wide = self.codes[ids] << (64 - (at & 31) - size).astype(np.uint64)
+            wide = (both >> np.uint32(6)).astype(np.uint64) << (64 - (at & 31) - size).astype(np.uint64)
             first = np.flatnonzero(np.diff(word, prepend=-1))
             words[word[first]] += np.add.reduceat(wide >> np.uint64(32), first)
             words[word[first] + 1] += np.add.reduceat(wide & np.uint64(0xFFFFFFFF), first)
@@ -111,7 +116,7 @@ class Code:
 
 
 def write_block(code: Code, docs: list[int], ids: list[np.ndarray]) -> bytes:
-    flat = np.concatenate(ids).astype(np.int64)
+    flat = np.concatenate(ids)
     words, marks = code.encode(flat)
     head = np.array([MAGIC, len(docs), len(flat), len(marks), len(words)], "<i8")
     body = b"".join((head.tobytes(), np.array(docs, "<i8").tobytes(), np.array([len(x) for x in ids], "<i8").tobytes(), marks.tobytes(), words.tobytes()))

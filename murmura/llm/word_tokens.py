@@ -36,7 +36,7 @@ class ChunkTokenizer:
     """Ids of texts. The cache has two generations of at most ``limit`` chunks (about 200 bytes each): when the young one is
     full it becomes the old one, from which chunks that are met again are taken back."""
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 800_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
