@@ -2,8 +2,10 @@
 
 The trees are fitted on a bounded sample and every row is sent down them. A query pops the nodes of all trees from one
 queue, nearest split plane first, until the leaves it has met hold enough rows. Their rows are candidates; their exact
-distances decide. How many rows must be met is a share of all rows (``search``): vectors without clusters, as random ones
-are, need most of it for a recall of 0.9; for clustered ones a small share does.
+distances decide. How many rows must be met is a share of all rows (``search``), each counted once however many trees meet
+it: vectors without clusters, as random ones are, need most of it for a recall of 0.9; for clustered ones a small share
+does. The share is counted on the sample that the trees were fitted on. Of equal vectors the k + 1 with the smallest ids
+are searched, which is exact, as the others can't be among any k nearest.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import save, shared
@@ -79,17 +82,24 @@ def grow(x: np.ndarray, leaf_size: int, rng: np.random.Generator) -> Tree:
     return Tree(np.array(planes).reshape(shape), np.array(offsets), np.array(children, np.int64).reshape(-1, 2), leaves)
 
 
-def probe(forest: list[Tree], held: list[list[int]], query: np.ndarray, goal: float) -> list[np.ndarray]:
-    """By tree, which leaves to search: popped from the queue until they hold ``goal`` rows (a row counts in each tree)."""
+def members(tree: Tree, x: np.ndarray) -> list[np.ndarray]:
+    """Which rows of x each leaf holds."""
+    at = tree.leaf(x)
+    return np.split(np.argsort(at, kind="stable"), np.cumsum(np.bincount(at, minlength=tree.leaves))[:-1])
+
+
+def probe(forest: list[Tree], held: list[list[np.ndarray]], query: np.ndarray, rows: int, goal: float) -> list[np.ndarray]:
+    """By tree, which leaves to search: popped from the queue until they hold ``goal`` different ones of ``rows`` rows."""
     margins = [(t.planes @ query - t.offsets).tolist() for t in forest]
     queue = [(-np.inf, k, 0 if len(t.planes) else -1) for k, t in enumerate(forest)]
-    chosen, got = [np.zeros(t.leaves, bool) for t in forest], 0
+    chosen, met, got = [np.zeros(t.leaves, bool) for t in forest], np.zeros(rows, bool), 0
     kids = [t.children.tolist() for t in forest]
     while queue and got < goal:
         far, k, node = heapq.heappop(queue)
         if node < 0:
             chosen[k][~node] = True
-            got += held[k][~node]
+            got += int(np.count_nonzero(~met[held[k][~node]]))
+            met[held[k][~node]] = True
         else:
             m = margins[k][node]
             heapq.heappush(queue, (max(far, m), k, kids[k][node][0]))
@@ -101,7 +111,9 @@ def nearest(table: DataFrame, k: int = 10, every: int = 100, trees: int = 8, sam
     """(query_id, rank, vec_id, score): for each row of table (vec_id, embedding) whose id ``every`` divides, the k nearest
     rows found by Euclidean distance, without those of its own vec_id. See ``vectors.usable`` for the rows that take part;
     zero vectors don't. Ties go to the smaller vec_id. No rows, or a single one, give no result."""
-    rows = save(usable(table, zero=False), "vectors")
+    every_row = save(usable(table, zero=False), "vectors")
+    copy = F.row_number().over(W.partitionBy("v").orderBy("vec_id"))
+    rows = save(every_row.withColumn("copy", copy).where(F.col("copy") <= k + 1).drop("copy"), "searched")
     total = rows.count()
     spark = table.sparkSession
     if not total:
@@ -120,19 +132,16 @@ def nearest(table: DataFrame, k: int = 10, every: int = 100, trees: int = 8, sam
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(leaves.tolist(), pa.list_(pa.int32()))], ["vec_id", "v", "leaves"])
 
     indexed = save(rows.mapInArrow(index, "vec_id long, v array<double>, leaves array<int>"), "indexed")
-    held = [[0] * t.leaves for t in forest.value]
-    for r in indexed.select(F.posexplode("leaves").alias("tree", "leaf")).groupBy("tree", "leaf").count().collect():
-        held[r["tree"]][r["leaf"]] = r["count"]
-    goal = search * total if total > FEW else float("inf")
-    sizes = shared(spark, "leaves", held)
+    goal = search * len(points) if total > FEW else float("inf")
+    held = shared(spark, "leaves", [members(t, points) for t in forest.value])
 
     def ask(batches):
         for batch in batches:
             x = matrix(pa.Table.from_batches([batch]))
-            bits = [np.packbits(np.concatenate(probe(forest.value, sizes.value, q, goal))).tobytes() for q in x]
+            bits = [np.packbits(np.concatenate(probe(forest.value, held.value, q, len(points), goal))).tobytes() for q in x]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.binary())], ["vec_id", "v", "probes"])
 
-    queries = save(indexed.where(F.col("vec_id") % every == 0).select("vec_id", "v").mapInArrow(ask, "vec_id long, v array<double>, probes binary"), "queries")
+    queries = save(every_row.where(F.col("vec_id") % every == 0).mapInArrow(ask, "vec_id long, v array<double>, probes binary"), "queries")
     starts = np.cumsum([0, *(t.leaves for t in forest.value)])[:-1]
 
     def rerank(left: pa.Table, right: pa.Table) -> pa.Table:

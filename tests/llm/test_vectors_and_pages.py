@@ -48,6 +48,29 @@ def test_nearest_recall_when_leaves_are_left_out(spark, monkeypatch):
     assert hits >= 0.9 * 300
 
 
+def recall_outside(spark, x, outside, every):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann_forest.nearest(df, k=10, every=every).collect()
+    asked, hits = [q for q in range(0, len(x), every) if outside[q]], 0
+    for q in asked:
+        far = ((x - x[q]) ** 2).sum(axis=1)
+        far[q] = np.inf
+        hits += len(set(np.lexsort((np.arange(len(x)), far))[:10].tolist()) & {r["vec_id"] for r in got if r["query_id"] == q})
+    return hits / (10 * len(asked)), got
+
+
+def test_nearest_recall_with_a_third_of_the_rows_equal(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(6000, 64))
+    same = rng.random(6000) < 1 / 3
+    x[same] = x[0]
+    recall, got = recall_outside(spark, x, ~same, 100)
+    assert recall >= 0.9
+    first = np.flatnonzero(same).tolist()
+    for q in (q for q in range(0, 6000, 100) if same[q]):
+        assert [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == [i for i in first if i != q][:10]
+
+
 def test_tree_sends_rows_where_it_was_grown():
     x = np.random.default_rng(2).normal(size=(300, 5))
     tree = ann_forest.grow(x, 10, np.random.default_rng(3))
