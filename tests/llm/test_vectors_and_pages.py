@@ -71,6 +71,17 @@ def test_nearest_recall_with_a_third_of_the_rows_equal(spark):
         assert [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == [i for i in first if i != q][:10]
 
 
+def test_nearest_leaves_rows_out_at_every_size(spark, monkeypatch):
+    asked = []
+    inner = ann_forest.save
+    monkeypatch.setattr(ann_forest, "save", lambda df, name: asked.append((name, inner(df, name))) or asked[-1][1])
+    x = np.random.default_rng(8).normal(size=(1500, 64))
+    recall, _ = recall_outside(spark, x, np.ones(1500, bool), 100)
+    probes = [r["probes"] for r in dict(asked)["queries"].collect()]
+    leaves = max(np.unpackbits(np.frombuffer(p, np.uint8)).sum() for p in probes)
+    assert recall >= 0.9 and leaves < 8 * -(-1500 // 64)
+
+
 def test_tree_sends_rows_where_it_was_grown():
     x = np.random.default_rng(2).normal(size=(300, 5))
     tree = ann_forest.grow(x, 10, np.random.default_rng(3))
