@@ -3,8 +3,9 @@
 Words are runs of letters and digits, lower-cased; shingles are three words (a notice of five words must have several).
 A document's shingles are cut into windows of 8 that start every 4; a template likewise. Each of 16 bands is one min-hash
 of a window. A notice of 3 shingles lies in one window whole, where its similarity is at least 3/8, so that some band
-meets it with probability 1 - (5/8) ** 16 = 0.9995; longer ones do better, and a long template has many windows. A template
-met by any band is verified: the part of its shingles that the whole document holds must reach the threshold. The
+meets it with probability 1 - (5/8) ** 16 = 0.9995; longer ones do better, and a long template has many windows. Of a
+template that must be held whole (at 0.75, one of at most 3 shingles) the first shingle itself is looked for. A template
+met is verified: the part of its shingles that the whole document holds must reach the threshold. The
 templates are a bounded parameter and stand in the plan as literals. Windows are rows, so that their min-hashes are compiled
 code; only the few (document, template) meetings are shuffled, and the texts they name are read again where they are.
 """
@@ -20,19 +21,61 @@ from .common import near_ids, save
 
 SHINGLE, WINDOW, STRIDE, BANDS = 3, 8, 4, 16
 
-#: Notices by license.
+
+def _gnu(kind: str, version: str, what: str = "program") -> list[str]:
+    """The headers of a GNU license: the standard one, of one version, and the short one."""
+    name = f"GNU {kind}General Public License"
+    return [
+        f"This {what} is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version.",
+        f"under the terms of the {name} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version",
+        f"under the terms of the {name} version {version} as published by the Free Software Foundation",
+        f"under the terms of the {name} as published by the Free Software Foundation, version {version}",
+        f"licensed under the {name}, version {version}",
+    ]
+
+
+def _creative(code: str, name: str) -> list[str]:
+    """Notices of a Creative Commons license and the first sentence of its body."""
+    full = f"Creative Commons {name} 4.0 International"
+    return [f"Licensed under CC {code} 4.0", f"licensed under a {full} License", f"licensed under the {full} License", f"By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this {full} Public License"]
+
+
+#: Fixed values by license: notices, headers, and passages of the bodies that other licenses' bodies don't have.
 TEMPLATES: dict[str, list[str]] = {
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0"],
-    "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0", "licensed under a Creative Commons Attribution 4.0 International License"],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
-    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
-    "GPL-2.0": ["licensed under the GNU General Public License, version 2"],
-    "GPL-3.0": ["licensed under the GNU General Public License, version 3"],
-    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
-    "MIT": ["Released under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
+    "AGPL-3.0": [*_gnu("Affero ", "3"), "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software"],
+    "All-Rights-Reserved": ["All rights reserved"],
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied", "\"License\" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document"],
+    "Artistic-1.0": ["The intent of this document is to state the conditions under which a Package may be copied, such that the Copyright Holder maintains some semblance of artistic control over the development of the package"],
+    "Artistic-2.0": ["under the terms of the Artistic License 2.0", "This license establishes the terms under which a given free software Package may be copied, modified, distributed, and/or redistributed"],
+    "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer", "Licensed under the 2-Clause BSD License", "Licensed under the 3-Clause BSD License", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file"],
+    "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"],
+    "CC-BY-4.0": _creative("BY", "Attribution"),
+    "CC-BY-NC-4.0": _creative("BY-NC", "Attribution-NonCommercial"),
+    "CC-BY-NC-ND-4.0": _creative("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+    "CC-BY-NC-SA-4.0": _creative("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+    "CC-BY-ND-4.0": _creative("BY-ND", "Attribution-NoDerivatives"),
+    "CC-BY-SA-4.0": _creative("BY-SA", "Attribution-ShareAlike"),
+    "CC0-1.0": ["Licensed under CC0 1.0", "CC0 1.0 Universal", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work", "Certain owners wish to permanently relinquish those rights to a Work for the purpose of contributing to a commons of creative, cultural and scientific works"],
+    "EPL-2.0": ["made available under the terms of the Eclipse Public License 2.0", "licensed under the Eclipse Public License, version 2.0", "THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE"],
+    "GFDL": ["Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License", "The purpose of this License is to make a manual, textbook, or other functional and useful document \"free\" in the sense of freedom"],
+    "GPL-1.0": _gnu("", "1"),
+    "GPL-2.0": [*_gnu("", "2"), "The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users"],
+    "GPL-3.0": [*_gnu("", "3"), "The GNU General Public License is a free, copyleft license for software and other kinds of works. The licenses for most software and other practical works are designed to take away your freedom to share and change the works. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change all versions of a program"],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "Released under the ISC License", "Licensed under the ISC License"],
+    "LGPL-2.0": _gnu("Library ", "2", "library"),
+    "LGPL-2.1": [*_gnu("Lesser ", "2.1", "library"), "This license, the Lesser General Public License, applies to some specially designated software packages--typically libraries--of the Free Software Foundation and other authors who decide to use it"],
+    "LGPL-3.0": [*_gnu("Lesser ", "3", "library"), "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below"],
+    "MIT": ["Released under the MIT License", "Licensed under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"],
+    "MPL-1.1": ["The contents of this file are subject to the Mozilla Public License Version 1.1"],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "licensed under the Mozilla Public License, version 2.0", "\"Contributor\" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software"],
+    "OFL-1.1": ["This Font Software is licensed under the SIL Open Font License, Version 1.1", "The goals of the Open Font License (OFL) are to stimulate worldwide development of collaborative font projects"],
+    "Unlicense": ["This is free and unencumbered software released into the public domain", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means"],
+    "Zlib": ["In no event will the authors be held liable for any damages arising from the use of this software", "The origin of this software must not be misrepresented; you must not claim that you wrote the original software"],
 }
+#: Identifiers in file headers; the names above are SPDX's but for BSD's two and the notice that is no license.
+for _name, _texts in TEMPLATES.items():
+    if _name != "All-Rights-Reserved":
+        _texts += [f"SPDX-License-Identifier: {x}" for x in (("BSD-2-Clause", "BSD-3-Clause") if _name == "BSD" else (_name,))]
 
 
 def _words(text: Column) -> Column:
@@ -70,12 +113,12 @@ def _bands() -> list[Column]:
 
 
 def _index(spark: SparkSession, templates: dict[str, list[str]]) -> list[dict]:
-    """For each template its license, distinct shingles and, by band, the min-hashes of its windows."""
+    """For each template its license, distinct shingles in order and, by band, the min-hashes of its windows."""
     texts = [(name, text) for name, all_texts in sorted(templates.items()) for text in all_texts]
     df = spark.createDataFrame(texts, "license string, text string").withColumn("words", _words(F.col("text")))
     df = df.withColumn("shingles", _shingles("words")).where(F.size("shingles") > 0)
-    rows = df.select("license", F.array_distinct("shingles").alias("shingles"), F.transform(_windows(), lambda w: w).alias("ws")).select("license", "shingles", F.posexplode("ws").alias("n", "w"))
-    rows = rows.select("license", "shingles", *_items()).select("license", "shingles", F.array(*_bands()).alias("keys")).groupBy("license", "shingles").agg(F.array_distinct(F.flatten(F.collect_list("keys"))).alias("keys"))
+    rows = df.select("license", F.array_distinct("shingles").alias("once"), F.explode(_windows()).alias("w")).select("license", "once", *_items()).select("license", "once", F.array(*_bands()).alias("keys"))
+    rows = rows.groupBy("license", F.col("once").alias("shingles")).agg(F.collect_list("keys").alias("keys"))
     return sorted((r.asDict() for r in rows.collect()), key=lambda r: (r["license"], r["shingles"]))  # a row a template
 
 
@@ -100,13 +143,17 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, contain
     # what a lambda or a filter refers to is computed in it, so shingles and windows are columns of their own, referred to
     # more than once, and windows are exploded without a filter on their number
     shingled = lambda df: df.select("doc_id", _words(F.col("text")).alias("words")).select("doc_id", _shingles("words").alias("shingles"))
-    wanted = sorted({k for t in index for k in t["keys"]})
+    whole = {i: t["shingles"][0] for i, t in enumerate(index) if len(t["shingles"]) - 1 < containment * len(t["shingles"])}
+    wanted = [sorted({w[k] for i, t in enumerate(index) if i not in whole for w in t["keys"]}) for k in range(BANDS)]
+    firsts = sorted(set(whole.values()))
     met = shingled(rows.where("doc_id IS NOT NULL")).select("doc_id", F.explode_outer(_windows()).alias("w")).select("doc_id", *_items())
     # the higher-order function keeps this filter out of whole-stage code: as one method it would be too long for the JVM to
     # compile, as an ordinary predicate it is cut into short ones
     plain = F.exists(F.array("x0"), lambda x: x.isNotNull())
-    met = met.where(reduce(lambda a, b: a | b, [b.isin(wanted) for b in _bands()]) & plain).select("doc_id", F.explode(F.array(*_bands())).alias("key"))
-    of = spark.createDataFrame([(i, k) for i, t in enumerate(index) for k in t["keys"]], "template int, key long")
+    items = [F.col(f"x{j}") for j in range(WINDOW)]
+    among = [b.isin(w) for b, w in zip(_bands(), wanted) if w] + [x.isin(firsts) for x in items if firsts]
+    met = met.where(reduce(lambda a, b: a | b, among) & plain).select("doc_id", F.explode(F.array(*_bands(), *items)).alias("key"))
+    of = spark.createDataFrame([(i, k) for i, t in enumerate(index) for k in ({whole[i]} if i in whole else {k for w in t["keys"] for k in w})], "template int, key long")
     met = save(met.join(F.broadcast(of), "key").groupBy("doc_id").agg(F.collect_set("template").alias("templates")), "licenses-met")
     # texts without a doc_id can't be asked for by it: all templates are verified on them
     again = near_ids(rows.where("doc_id IS NOT NULL"), met, "doc_id", "left_semi").select("doc_id", "text").unionByName(rows.where("doc_id IS NULL"))

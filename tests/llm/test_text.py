@@ -39,6 +39,27 @@ def test_license_edges(spark, edge_docs, no_docs):
     assert got == [(False, "GPL-3.0", 7)] * 2 + [(True, "GPL-3.0", 7)]
 
 
+def test_licenses_beyond_the_tables(spark):
+    header = "you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    cases = {
+        "All-Rights-Reserved": "Copyright 2020 A. Writer.\nAll rights reserved.\n",
+        "GPL-3.0": "This program is free software: " + header.format("", "3"),
+        "GPL-2.0": "This program is free software; " + header.format("", "2"),
+        "LGPL-2.1": "This library is free software; " + header.format("Lesser ", "2.1"),
+        "LGPL-3.0": "This library is free software: " + header.format("Lesser ", "3"),
+        "AGPL-3.0": "This program is free software: " + header.format("Affero ", "3"),
+        "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+        "Unlicense": "This is free and unencumbered software released into the public domain.",
+        "MIT": "// SPDX-License-Identifier: MIT",
+        "MPL-2.0": '"Contributor" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software.',
+        "Apache-2.0": '"License" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document.',
+    }
+    words = " ".join(f"w{i}" for i in range(997))
+    names = [*cases] * 8
+    df = spark.createDataFrame([(i, " ".join(words.split()[: 31 * i % 97]) + " . " + cases[n] + " . " + words) for i, n in enumerate(names)], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["license"]) for r in license_scan.scan(df).collect()) == list(enumerate(names))
+
+
 def test_license_version_matters(spark):
     df = spark.createDataFrame([(1, "licensed under the GNU General Public License, version 2"), (2, "licensed under the GNU General Public License, version 2 and also licensed under the GNU General Public License, version 3")], "doc_id long, text string")
     assert sorted((r["doc_id"], r["license"]) for r in license_scan.scan(df).collect()) == [(1, "GPL-2.0"), (2, "GPL-2.0"), (2, "GPL-3.0")]
