@@ -247,7 +247,7 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return good.where("q = 1").select("doc_id")
 
 
-def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, slack: float = 1.1, evidence: float = 15.0) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, slack: float = 1.0, evidence: float = 15.0) -> DataFrame:
     """(doc_id, lang, n_bytes, perplexity, threshold, accepted) for each row of docs (doc_id, lang, text).
 
     Trained on the full texts of the documents that labels (doc_id, quality) call good, but for a fifth of them, by a hash of

@@ -11,6 +11,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from murmura.llm import hamming_dedup, kn_quality, language_id, license_scan
 from murmura.llm.shingles import MinHash, shingle_sets
@@ -256,3 +257,13 @@ def test_near_duplicate_edges(spark, edge_docs, no_docs):
     assert by[5]["component_id"] == 4 and not by[5]["kept"] and by[6]["n_shingles"] == 1
     assert by[None]["component_id"] is None and by[None]["kept"]
     assert hamming_dedup.near_duplicates(no_docs).count() == 0
+
+
+def test_quality_keeps_good_and_catches_junk(spark):
+    folder = "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip("no driver tables")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    judged = kn_quality.judge(spark.read.parquet(f"{folder}/documents.parquet"), labels).select("doc_id", "accepted")
+    share = {r["quality"]: r["share"] for r in judged.join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("accepted").cast("int")).alias("share")).collect()}
+    assert share[0] <= 0.05 and share[1] >= 0.995
