@@ -298,7 +298,8 @@ def smote(df: DataFrame, features: Sequence[str], label: str, key: str, strategy
     """(label, features): df with synthetic rows, points between a row and one of its nearest in the class, until classes
     are as large as the largest. strategy: 'minority', 'not minority', 'not majority', 'all' or 'auto' (= not majority).
 
-    Nearest rows are sought within blocks of at most 2000 rows of a class, each a task's; a class is never one task's."""
+    Each block of at most 2000 rows of a class is compared with every block of it, a pair of blocks a task's, and a row's
+    nearest of all are merged; of equally near rows the first by place counts."""
     sizes = {r[0]: r[1] for r in df.groupBy(quoted(label)).count().collect()}  # a row a class
     most, least = max(sizes.values()), min(sizes.values())
     wanted = {"minority": [c for c, n in sizes.items() if n == least], "not minority": [c for c, n in sizes.items() if n > least], "not majority": [c for c, n in sizes.items() if n < most], "all": [*sizes]}
@@ -311,27 +312,49 @@ def smote(df: DataFrame, features: Sequence[str], label: str, key: str, strategy
         return base
     spark = df.sparkSession
     plan = spark.createDataFrame([(c, sizes[c], n, max(1, -(-sizes[c] // 2000))) for c, n in grow.items()], f"`{label}` {dict(df.dtypes)[label]}, __n long, __new long, __blocks long")
-    rows = df.join(F.broadcast(plan), label).withColumn("__place", F.row_number().over(W.partitionBy(quoted(label)).orderBy(F.xxhash64(quoted(key), F.lit(seed)), quoted(key))) - 1)
+    rows = df.join(F.broadcast(plan), label).withColumn("__place", F.row_number().over(W.partitionBy(quoted(label)).orderBy(F.xxhash64(quoted(key), F.lit(seed)), quoted(key), *map(quoted, features))) - 1)
     rows = rows.withColumn("__block", F.pmod("__place", "__blocks")).withColumn("__make", (F.floor((F.col("__place") + 1) * F.col("__new") / F.col("__n")) - F.floor(F.col("__place") * F.col("__new") / F.col("__n"))).cast("long"))
-    schema = base.schema
     names = list(features)
+    kind = dict(df.dtypes)[label]
+    rows = rows.select(quoted(label).alias("__class"), "__place", "__block", "__blocks", "__make", F.array(*[quoted(f).cast("double") for f in names]).alias("__v"))
+    every_block = F.explode(F.expr("sequence(0L, __blocks - 1L)"))
+    # names of its own, as the two sides come from one table
+    right = rows.select(F.col("__class").alias("__of"), F.col("__place").alias("__at"), F.col("__v").alias("__x"), F.col("__block").alias("__right"), every_block.alias("__left"))
+    left = rows.where("__make > 0").select("__class", "__place", "__v", "__make", "__block", every_block.alias("__other"))
+
+    def compare(asked, known):
+        import pandas as pd
 
-    def make(pdf):
-        x = pdf[names].to_numpy(float)
-        rng = np.random.default_rng([seed, int(pdf["__block"].iloc[0]), len(pdf)])
-        made = []
-        for i, count in enumerate(pdf["__make"]):
-            d = ((x - x[i]) ** 2).sum(axis=1)
-            d[i] = np.inf
-            near = np.argsort(d, kind="stable")[: min(neighbours, len(x) - 1)]
-            for _ in range(int(count)):
-                to = x[rng.choice(near)] if len(near) else x[i]
-                made.append((pdf[label].iloc[0], *(x[i] + rng.random() * (to - x[i]))))
+        out = []
+        if len(asked) and len(known):
+            known = known.sort_values("__at")
+            x, places = np.array(known["__x"].tolist(), float), known["__at"].to_numpy()
+            for c, place, count, v in zip(asked["__class"], asked["__place"], asked["__make"], asked["__v"]):
+                d = ((x - np.array(v, float)) ** 2).sum(axis=1)
+                d[places == place] = np.inf
+                near = np.argsort(d, kind="stable")[:neighbours]
+                near = near[places[near] != place]
+                out.append((c, place, count, v, list(zip(d[near].tolist(), places[near].tolist(), x[near].tolist()))))
+        return pd.DataFrame(out, columns=["__class", "__place", "__make", "__v", "__near"])
+
+    found = "array<struct<d: double, place: long, v: array<double>>>"
+    met = left.groupBy("__class", "__block", "__other").cogroup(right.groupBy("__of", "__left", "__right")).applyInPandas(compare, f"__class {kind}, __place long, __make long, __v array<double>, __near {found}")
+    # a class is few blocks at a time: as many lists of ``neighbours`` as it has blocks
+    merged = met.groupBy("__class", "__place").agg(F.first("__make").alias("__make"), F.first("__v").alias("__v"), F.slice(F.array_sort(F.flatten(F.collect_list("__near"))), 1, neighbours).alias("__near"))
+
+    def make(batches):
         import pandas as pd
 
-        return pd.DataFrame(made, columns=[label, *names])
+        for pdf in batches:
+            made = []
+            for c, place, count, v, near in zip(pdf["__class"], pdf["__place"], pdf["__make"], pdf["__v"], pdf["__near"]):
+                rng, v = np.random.default_rng([seed, int(place)]), np.array(v, float)
+                for _ in range(int(count)):
+                    to = np.array(near[rng.integers(len(near))]["v"], float) if len(near) else v
+                    made.append((c, *(v + rng.random() * (to - v))))
+            yield pd.DataFrame(made, columns=[label, *names])
 
-    return base.unionByName(rows.groupBy(quoted(label), "__block").applyInPandas(make, schema))
+    return base.unionByName(merged.mapInPandas(make, base.schema))
 
 
 def classify(df: DataFrame, features: Sequence[str], label: str, key: str, k: int = 5, classifier: Callable[[], Estimator] | None = None, balance: str | None = None) -> dict[str, DataFrame]:

@@ -258,6 +258,23 @@ def test_clusters_and_classes(spark):
     assert ml.tsne(df, ["x", "y"], "id", 5.0, rows=30, iterations=50).count() == 30
 
 
+def test_smote_neighbours_are_the_class_s_nearest(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(4500, 2))
+    df = spark.createDataFrame([(i, float(a), float(b), 0) for i, (a, b) in enumerate(x)] + [(i, 0.0, 0.0, 1) for i in range(4500, 9500)], "id int, x double, y double, c int")
+    made = np.array([(r["x"], r["y"]) for r in ml.smote(df, ["x", "y"], "c", "id").where("c = 0").collect()])
+    old = set(map(tuple, x.tolist()))
+    new = np.array([m for m in made.tolist() if tuple(m) not in old])
+    assert len(made) == 5000 and len(new) == 500
+    near = np.stack([np.argsort(((x - v) ** 2).sum(axis=1), kind="stable")[1:6] for v in x])
+    ends = np.concatenate([x[:, None].repeat(5, 1).reshape(-1, 2), x[near].reshape(-1, 2)], axis=1)
+    for v in new:  # on the line from a row to one of its five nearest of the whole class
+        a, b = ends[:, :2], ends[:, 2:]
+        t = ((v - a) * (b - a)).sum(axis=1) / ((b - a) ** 2).sum(axis=1)
+        off = np.abs(a + t[:, None] * (b - a) - v).max(axis=1)
+        assert ((off < 1e-9) & (t > -1e-9) & (t < 1 + 1e-9)).any()
+
+
 def test_row_numbers_with_nulls_and_a_hot_value(spark):
     rows = [(None, 0), ("b", 1), ("a", 2)] + [("hot", i) for i in range(3, 400)] + [("z", 1000 - i) for i in range(100)]
     df = spark.createDataFrame(rows, "k string, i int").repartition(7)
