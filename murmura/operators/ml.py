@@ -150,28 +150,51 @@ def populations(clustered: DataFrame) -> DataFrame:
     return clustered.groupBy("cluster").count()
 
 
-def silhouette(clustered: DataFrame, features: Sequence[str] | str, key: str, sample: int = 5000, seed: int = 1066) -> float | None:
-    """Mean Euclidean silhouette, over a sample of at most ``sample`` rows (all pairs of the sample are compared)."""
+def silhouette(clustered: DataFrame, features: Sequence[str] | str, key: str, block: int = 8192) -> float | None:
+    """Mean Euclidean silhouette over all rows: blocks of about ``block`` rows are compared with each other, a pair a
+    task's. The work grows with the square of the rows."""
     v = quoted(features) if isinstance(features, str) else F.array(*[quoted(f).cast("double") for f in features])
-    rows = clustered.select(quoted(key).alias("i"), v.alias("v"), F.col("cluster").alias("c"))
-    rows = rows.orderBy(F.xxhash64("i", F.lit(seed)), "i").limit(sample).collect()  # bounded by ``sample``
-    if not rows:
-        return None
-    x, c = np.array([r["v"] for r in rows], float), np.array([r["c"] for r in rows])
-    labels = np.unique(c)
+    # rows equal in all count as often as they occur
+    rows = clustered.select(quoted(key).alias("i"), v.alias("v"), F.col("cluster").cast("int").alias("c")).groupBy("i", "v", "c").agg(F.count("*").alias("m"))
+    sizes = {r["c"]: r["n"] for r in rows.groupBy("c").agg(F.sum("m").alias("n")).collect()}  # a row a cluster
+    labels = sorted(sizes)
     if len(labels) < 2:
         return None
-    sums, sizes = np.zeros((len(x), len(labels))), np.array([(c == j).sum() for j in labels])
-    for i in range(0, len(x), 256):
-        part = np.sqrt(np.maximum(((x[i : i + 256, None] - x[None]) ** 2).sum(axis=2), 0))
-        sums[i : i + 256] = np.stack([part[:, c == j].sum(axis=1) for j in labels], axis=1)
-    own = np.searchsorted(labels, c)
-    rest = sizes[own] - 1
-    a = sums[np.arange(len(x)), own] / np.maximum(rest, 1)
-    other = sums / sizes
-    other[np.arange(len(x)), own] = np.inf
-    b = other.min(axis=1)
-    return float(np.where(rest > 0, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0).mean())
+    total = sum(sizes.values())
+    across = -(-total // block)
+    to = F.pmod(F.xxhash64("i", "v"), F.lit(across))
+    everywhere = F.explode(F.expr(f"sequence(0L, {across - 1}L)"))
+    left = rows.select("i", "v", "c", "m", to.alias("lb"), everywhere.alias("rb"))
+    # names of its own, as the two sides come from one table
+    right = rows.select(F.col("v").alias("x"), F.col("c").alias("xc"), F.col("m").alias("xm"), to.alias("xr"), everywhere.alias("xl"))
+    kinds = dict(rows.dtypes)
+
+    def compare(asked, known):
+        import pandas as pd
+
+        if not len(asked) or not len(known):
+            return pd.DataFrame({n: [] for n in ("i", "v", "c", "m", "s")})
+        y = np.array(known["x"].tolist(), float)
+        mean = y.mean(axis=0)
+        y -= mean
+        weight = (known["xc"].to_numpy()[:, None] == np.array(labels)) * known["xm"].to_numpy()[:, None].astype(float)
+        x, sums = np.array(asked["v"].tolist(), float) - mean, []
+        for k in range(0, len(x), 512):
+            part = x[k : k + 512]
+            far = (part**2).sum(axis=1)[:, None] + (y**2).sum(axis=1) - 2 * part @ y.T
+            sums += (np.sqrt(np.maximum(far, 0)) @ weight).tolist()
+        return asked[["i", "v", "c", "m"]].assign(s=sums)
+
+    met = left.groupBy("lb", "rb").cogroup(right.groupBy("xl", "xr")).applyInPandas(compare, f"i {kinds['i']}, v {kinds['v']}, c int, m long, s array<double>")
+    whole = met.groupBy("i", "v", "c", "m").agg(F.array(*[F.sum(F.get("s", F.lit(j))) for j in range(len(labels))]).alias("s"))
+    own = F.array_position(F.array(*map(F.lit, labels)), F.col("c")).cast("int") - 1
+    count = F.array(*[F.lit(float(sizes[c])) for c in labels])
+    whole = whole.select("m", "s", own.alias("own"), count.alias("n"))
+    others = F.array_min(F.transform("s", lambda t, j: F.when(j != F.col("own"), t / F.get(F.col("n"), j))))
+    rest = F.get("n", F.col("own")) - 1
+    whole = whole.select("m", rest.alias("rest"), (F.get("s", F.col("own")) / F.greatest(rest, F.lit(1.0))).alias("a"), others.alias("b"))
+    one = F.when(F.col("rest") > 0, (F.col("b") - F.col("a")) / F.greatest("a", "b", F.lit(1e-300))).otherwise(0.0)
+    return float(whole.agg(F.sum(one * F.col("m")) / total).first()[0])
 
 
 def optimal_k(df: DataFrame, features: Sequence[str] | str, key: str, ks: Sequence[int], seed: int = 1066) -> DataFrame:
@@ -181,7 +204,7 @@ def optimal_k(df: DataFrame, features: Sequence[str] | str, key: str, ks: Sequen
     for k in ks:
         if 2 <= k <= n - 1:
             made, model = cluster(df, features, k, seed)
-            rows.append((k, silhouette(made, features, key, seed=seed), float(model.summary.trainingCost)))
+            rows.append((k, silhouette(made, features, key), float(model.summary.trainingCost)))
     return df.sparkSession.createDataFrame(rows, "k int, silhouette double, cost double")
 
 

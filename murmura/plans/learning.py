@@ -26,9 +26,13 @@ def pca_transform(t):
     return ml.transform_components(t.lineitem, ml.fit_components(t.lineitem, MEASURES, 2), ["l_orderkey"])
 
 
+def _embedding_size(t) -> int:
+    return t.embeddings.agg(F.max(F.size("embedding"))).first()[0]
+
+
 @query()
 def pca_needed_dims(t):
-    rows = t.embeddings.select(*[F.element_at("embedding", i + 1).cast("double").alias(f"e{i}") for i in range(16)])
+    rows = t.embeddings.select(*[F.element_at("embedding", i + 1).cast("double").alias(f"e{i}") for i in range(_embedding_size(t))])
     pca = ml.fit_components(rows, rows.columns)
     n, names = ml.needed_dimensions(pca, 0.9)
     return t.embeddings.sparkSession.createDataFrame([(n, len(names), f, p) for f, p in ml.feature_powers(pca)], "components int, features int, feature string, share double")
@@ -58,5 +62,6 @@ def smote(t):
 
 @query()
 def tsne(t):
-    rows = t.embeddings.select("vec_id", "label", *[F.element_at("embedding", i + 1).alias(f"e{i}") for i in range(8)])
-    return ml.tsne(rows, [f"e{i}" for i in range(8)], "vec_id", 15.0, rows=120, iterations=100, keep=["label"])
+    names = [f"e{i}" for i in range(_embedding_size(t))]
+    rows = t.embeddings.select("vec_id", "label", *[F.element_at("embedding", i + 1).alias(n) for i, n in enumerate(names)])
+    return ml.tsne(rows, names, "vec_id", 15.0, keep=["label"])

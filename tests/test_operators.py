@@ -275,6 +275,32 @@ def test_smote_neighbours_are_the_class_s_nearest(spark):
         assert ((off < 1e-9) & (t > -1e-9) & (t < 1 + 1e-9)).any()
 
 
+def test_silhouette_is_over_all_rows(spark):
+    rng = np.random.default_rng(4)
+    x, c = rng.normal(size=(6000, 3)), rng.integers(0, 3, 6000)
+    x[:, 0] += c
+    df = spark.createDataFrame([(i, *map(float, v), int(k)) for i, (v, k) in enumerate(zip(x, c))], "id int, x double, y double, z double, cluster int")
+    sums = np.zeros((6000, 3))
+    for i, v in enumerate(x):
+        sums[i] = np.bincount(c, np.sqrt(((x - v) ** 2).sum(axis=1)), 3)
+    size, at = np.bincount(c), np.arange(6000)
+    a, other = sums[at, c] / (size[c] - 1), sums / size
+    other[at, c] = np.inf
+    b = other.min(axis=1)
+    expected = ((b - a) / np.maximum(a, b)).mean()
+    assert ml.silhouette(df, ["x", "y", "z"], "id") == pytest.approx(expected, abs=1e-9)
+    assert ml.silhouette(df, ["x", "y", "z"], "id", block=1500) == pytest.approx(expected, abs=1e-9)
+
+
+def test_learning_queries_use_whole_embeddings(spark, data):
+    from murmura import catalogue
+
+    table = spark.read.parquet(f"{data}/embeddings.parquet")
+    size = len(table.first()["embedding"])
+    assert catalogue.queries()["pca_needed_dims"](spark, data).count() == size
+    assert catalogue.queries()["tsne"](spark, data).count() == min(1000, table.count())
+
+
 def test_row_numbers_with_nulls_and_a_hot_value(spark):
     rows = [(None, 0), ("b", 1), ("a", 2)] + [("hot", i) for i in range(3, 400)] + [("z", 1000 - i) for i in range(100)]
     df = spark.createDataFrame(rows, "k string, i int").repartition(7)
