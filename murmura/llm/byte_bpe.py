@@ -131,15 +131,18 @@ class Transducer:
                 if kids[child]:
                     live.append((child, last))
         live.append((self.ROOT, done))
-        key = tuple(live)
-        to = self.number.get(key)
-        if to is None:
-            to = self.number[key] = len(self.content)
-            self.content.append(key)
-            self.moves.append({})
-        self.moves[state][byte] = move = (to, done)
+        self.moves[state][byte] = move = (self._number(tuple(live)), done)
         return move
 
+    def _number(self, content: tuple) -> int:
+        """The state of these nodes, made if it isn't there."""
+        state = self.number.get(content)
+        if state is None:
+            state = self.number[content] = len(self.content)
+            self.content.append(content)
+            self.moves.append({})
+        return state
+
     def _settled(self, state: int, lasts: list[int], read: int) -> int:
         """Up to where the ways to all tokens under way are one: a place among the ``read`` bytes held."""
         ends = {read - self.depth[node] for node, _ in self.content[state]}
@@ -170,6 +173,10 @@ class Transducer:
                 end = self._settled(state, lasts, len(lasts))
                 yield self._back(lasts, end)
                 del lasts[:end]
+                if len(self.content) > self.limit:  # also within a piece: only the state that it is in is kept
+                    now = self.content[state]
+                    self._reset()
+                    state, moves = self._number(now), self.moves
         yield self._back(lasts, len(lasts))
 
     def encode(self, piece: bytes) -> list[int]:
@@ -187,8 +194,13 @@ class Transducer:
         return self._back(lasts, len(lasts))
 
 
+#: Matches of more characters aren't kept; so many characters a generation may hold for each match of its limit.
+LONG, MEAN = 64, 16
+
+
 class Encoder:
-    """Whole texts: the pattern's matches one by one, with a cache of matches in two generations of at most ``cache``."""
+    """Whole texts: the pattern's matches one by one, with a cache of matches of at most ``LONG`` characters in two generations
+    of at most ``cache`` matches and ``MEAN`` times ``cache`` characters."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = 350_000):
         import regex
@@ -197,13 +209,14 @@ class Encoder:
         self.machine, self.limit = Transducer(ranks), cache
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.held = 0
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit."""
         pieces, cache = self.find(text), self.cache
-        if len(cache) > self.limit:
-            self.old, self.cache = cache, (cache := {})
-        missing = set(pieces).difference(cache)
+        if len(cache) > self.limit or self.held > MEAN * self.limit:
+            self.old, self.cache, self.held = cache, (cache := {}), 0
+        missing, far = set(pieces).difference(cache), []
         if missing:
             old, run = self.old, self.machine.encode
             for p in missing:
@@ -212,7 +225,14 @@ class Encoder:
                     tokens = run(p.encode())
                     ids = pack(f"<{len(tokens)}I", *tokens)
                 cache[p] = ids
-        return b"".join(map(cache.__getitem__, pieces))
+                if len(p) > LONG:
+                    far.append(p)
+                else:
+                    self.held += len(p)
+        out = b"".join(map(cache.__getitem__, pieces))
+        for p in far:
+            del cache[p]
+        return out
 
 
 def utf8_table() -> list[list[int]]:

@@ -1,7 +1,9 @@
 """Token ids of whole texts by the ``tokenizers`` library, with a bounded cache of white-space separated chunks.
 
 No pattern of the tokenizer family used here crosses white space, so a text's ids are those of its chunks, in order.
-Chunks are kept as little-endian 16-bit ids (32-bit for larger vocabularies), so that a text's ids are one join.
+Chunks are kept as little-endian 16-bit ids (32-bit for larger vocabularies), so that a text's ids are one join. A text
+that holds the string of an added token (``<|endoftext|>``, say), which the library finds before anything else, is encoded
+whole by the library.
 """
 
 from __future__ import annotations
@@ -13,6 +15,10 @@ import numpy as np
 
 from .common import keeps, make_room
 
+#: Chunks of more characters (text without white space, say) aren't kept.
+LONG = 64
+#: Characters a generation of the cache may hold for each chunk of its limit.
+MEAN = 16
 #: ASCII punctuation that the split pattern keeps as one piece after a word (the apostrophe starts other rules).
 TAIL = '.,;:!?"#$%&()*+-/@[]^_`{|}~'
 
@@ -33,8 +39,11 @@ def _word(chunk: str) -> bool:
 
 
 class ChunkTokenizer:
-    """Ids of texts. The cache has two generations of at most ``limit`` chunks (about 200 bytes each): when the young one is
-    full it becomes the old one, from which chunks that are met again are taken back."""
+    """Ids of texts, as the library gives them without special tokens of its own.
+
+    The cache has two generations of at most ``limit`` chunks of at most ``LONG`` characters, ``MEAN`` times ``limit``
+    characters in all (a chunk costs about 200 bytes and 12 a character at most, so a generation is bounded in bytes): when
+    the young one is full it becomes the old one, from which chunks that are met again are taken back."""
 
     def __init__(self, path: str, limit: int = 500_000):
         import os
@@ -43,13 +52,17 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        added = self.tok.get_added_tokens_decoder().values()
+        self.marks = sorted({m for t in added for m in (t.content, t.content.lower())})
+        #: only marks that are looked for in the text as it stands leave the chunks independent of each other
+        self.parts = not any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added)
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 65536 else "<u4")
         self.limit = limit
         self.plain = self._merges_only()
         self.lowers = self.tok.normalizer is not None and self.tok.normalizer.normalize_str("Ab") == "ab"
         self.cache: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
+        self.held = 0
         self.ends = np.zeros(self.tok.get_vocab_size(), bool)
         for piece, i in self.tok.get_vocab().items():
             self.ends[i] = piece.endswith("</w>")
@@ -65,7 +78,6 @@ class ChunkTokenizer:
         plain = Tokenizer.from_str(self.tok.to_str())
         plain.normalizer = normalizers.Sequence([])
         plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        plain.encode_special_tokens = True
         return plain
 
     def _raw(self, ids) -> bytes:
@@ -100,6 +112,8 @@ class ChunkTokenizer:
         for c in chunks:
             if c in old:
                 cache[c] = old[c]
+            elif len(c) > LONG:
+                single.add(c)
             elif c.isalpha():
                 (letters if c.isascii() or _word(c) else single).add(c)
             else:
@@ -128,11 +142,14 @@ class ChunkTokenizer:
 
     def encode_raw(self, texts: list[str]) -> list[bytes]:
         """The ids as the bytes of ``dtype``."""
-        if len(self.cache) > self.limit:
-            self.old, self.cache = self.cache, {"": b""}
-        # the vocabulary is of lower-cased text; lowering ASCII text beforehand changes nothing else
+        if len(self.cache) > self.limit or self.held > MEAN * self.limit:
+            self.old, self.cache, self.held = self.cache, {"": b""}, 0
+        # the vocabulary is of lower-cased text; lowering ASCII text beforehand changes nothing but what marks it seems to hold
         lower = [t.lower() if t.isascii() else t for t in texts] if self.lowers else texts
+        whole = [i for i, t in enumerate(lower) if not self.parts or any(m in t for m in self.marks)]
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in lower]
+        for i in whole:
+            split[i] = [""]
         seen: set[str] = set()
         for words in split:
             seen.update(words)
@@ -140,7 +157,15 @@ class ChunkTokenizer:
         if missing:
             self.learn(missing)
         get = self.cache.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        out = [b"".join(map(get, words)) for words in split]
+        for c in missing:
+            if len(c) > LONG:
+                del self.cache[c]
+            else:
+                self.held += len(c)
+        for i in whole:
+            out[i] = self._raw(self.tok.encode(texts[i], add_special_tokens=False).ids)
+        return out
 
 
 _made: dict[str, ChunkTokenizer] = {}

@@ -19,9 +19,7 @@ ODD = "aBéÉΣİ'sſ 1²٣́\x1c\x85　\t.!<|endoftext|>日本\U0001f600ß‍H
 
 @pytest.fixture(scope="module")
 def word(vocab):
-    tok = Tokenizer.from_file(vocab.path("word_bpe_49k.json"))
-    tok.encode_special_tokens = True
-    return tok
+    return Tokenizer.from_file(vocab.path("word_bpe_49k.json"))
 
 
 @pytest.fixture(scope="module")
@@ -35,6 +33,26 @@ def test_chunks_are_the_whole(word, chunked, text):
     assert chunked.encode([text])[0].tolist() == word.encode(text, add_special_tokens=False).ids
 
 
+MARKS = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|StartOfText|>", "<|end", "oftext|>", " ", "\n", "x", "É", "don't", "日本" * 50, "a" * 200, "."]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(MARKS), max_size=8).map("".join))
+def test_marks_in_texts_are_the_librarys(word, chunked, text):
+    assert chunked.encode([text, "x" + text])[0].tolist() == word.encode(text, add_special_tokens=False).ids
+
+
+def test_caches_are_bounded_in_bytes(word, chunked, bpe):
+    """Long text without white space is encoded as the library does and not kept."""
+    rng, theirs = random.Random(5), bpe[0]
+    for _ in range(30):
+        text = " ".join("".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(rng.choice([3, 40, 1000]))) for _ in range(10))
+        assert chunked.encode([text])[0].tolist() == word.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(bpe[1].encode(text), "<u4").tolist() == theirs.encode_ordinary(text)
+    for cache in (chunked.cache, chunked.old, bpe[1].cache, bpe[1].old):
+        assert max(map(len, cache), default=0) <= 64 and sum(map(len, cache)) <= 16 * 500 + 10_000
+
+
 @pytest.fixture(scope="module")
 def bpe(vocab):
     ranks = byte_bpe.read_ranks(vocab.path("byte_bpe_50k.tiktoken"))
@@ -58,6 +76,8 @@ def test_bpe_pieces(bpe):
         assert ours.machine.encode(long) == theirs._encode_single_piece(long)
         assert max(map(len, ours.machine.stream(long, hold=256))) <= 256
     ours.machine.limit = 50  # the machine starts anew all the time
+    mixed = bytes(rng.choice(b"abcdetinghsro\xc3\xa9") for _ in range(9_000))
+    assert ours.machine.encode(mixed) == theirs._encode_single_piece(mixed) and len(ours.machine.content) < 9_000
     assert ours.machine.encode(b"reconsiderations") == theirs._encode_single_piece(b"reconsiderations")
 
 
