@@ -2,7 +2,8 @@
 
 A file is a run of block records in doc_id order, kept in a Parquet container so that every store Spark writes to will
 do. A block's record: ``body`` = magic, counts, the documents' ids and lengths, checkpoint bit offsets, then the code
-bits (most significant first, 32-bit big-endian words), with a crc32 of all that. The code lengths of all symbols are
+bits (most significant first, 32-bit big-endian words), with a crc32 of all that. Documents without an id come first, and
+a block says how many it has. The code lengths of all symbols are
 one record of the ``codebook`` beside the blocks. A block needs the code book and nothing else to be decoded.
 """
 
@@ -12,6 +13,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ from .word_tokens import chunk_tokenizer
 MAGIC = 0x48554631
 CHECKPOINT = 64
 BLOCK_TOKENS = 1 << 18
-BLOCKS = "block long, first_doc long, before long, n_tokens long, body binary"
+BLOCKS = "part int, block long, first_doc long, before long, n_tokens long, body binary"
 
 
 def code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
@@ -115,24 +117,25 @@ class Code:
         return out.reshape(-1)[:count]
 
 
-def write_block(code: Code, docs: list[int], ids: list[np.ndarray]) -> bytes:
+def write_block(code: Code, docs: list[int | None], ids: list[np.ndarray]) -> bytes:
+    """``docs`` in ascending order, those without an id first."""
     flat = np.concatenate(ids)
     words, marks = code.encode(flat)
-    head = np.array([MAGIC, len(docs), len(flat), len(marks), len(words)], "<i8")
-    body = b"".join((head.tobytes(), np.array(docs, "<i8").tobytes(), np.array([len(x) for x in ids], "<i8").tobytes(), marks.tobytes(), words.tobytes()))
+    head = np.array([MAGIC, len(docs), docs.count(None), len(flat), len(marks), len(words)], "<i8")
+    body = b"".join((head.tobytes(), np.array([d or 0 for d in docs], "<i8").tobytes(), np.array([len(x) for x in ids], "<i8").tobytes(), marks.tobytes(), words.tobytes()))
     return body + zlib.crc32(body).to_bytes(4, "little")
 
 
-def read_block(code: Code, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def read_block(code: Code, raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """(doc ids, their lengths, all token ids); ValueError on a damaged block."""
     body = memoryview(raw)[:-4]
     if zlib.crc32(body) != int.from_bytes(raw[-4:], "little"):
         raise ValueError("damaged block")
-    magic, n_docs, count, n_marks, n_words = np.frombuffer(body, "<i8", 5).tolist()
+    magic, n_docs, n_null, count, n_marks, n_words = np.frombuffer(body, "<i8", 6).tolist()
     if magic != MAGIC:
         raise ValueError("not a block of token ids")
-    at = 40
-    docs = np.frombuffer(body, "<i8", n_docs, at)
+    at = 48
+    docs = [None] * n_null + np.frombuffer(body, "<i8", n_docs, at).tolist()[n_null:]
     lengths = np.frombuffer(body, "<i8", n_docs, at + 8 * n_docs)
     marks = np.frombuffer(body, "<u4", n_marks, at + 16 * n_docs)
     words = np.frombuffer(body, ">u4", n_words, at + 16 * n_docs + 4 * n_marks)
@@ -157,7 +160,7 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 yield row(part.column(0), [len(raw) // step for raw in ids], ids)
         yield row(pa.array([None], pa.int64()), [-1], [total.tobytes()])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, n long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, "doc_id long, n long, ids binary")
 
 
 def count_symbols(tokens: DataFrame, vocab: int) -> np.ndarray:
@@ -180,9 +183,10 @@ def count_symbols(tokens: DataFrame, vocab: int) -> np.ndarray:
 def write_ids(docs: DataFrame, tokenizer: str, end_id: int = 2, max_bits: int = 20, tokens_per_file: int = 32 << 20) -> str:
     """Write the documents' token ids in ascending doc_id order; returns the folder.
 
-    Null texts are empty (the end id alone); rows without a doc_id have no place in the order and aren't written; rows
-    that repeat a doc_id follow each other. Texts are tokenised once, into a table in the shared folder; counts, the
-    order and the files are made from it. Files are ranges of doc_id, cut by rows (and so evenly, whatever the ids).
+    Null texts are empty (the end id alone); rows without a doc_id come first; rows that repeat a doc_id follow each other
+    in the order of their ids' hashes, so that what is written is the same however often it is done. Texts are tokenised
+    once, into a table in the shared folder; counts, the order and the files are made from it. Files are ranges of
+    (doc_id, hash), so that rows of one doc_id, or without, may be many files.
     """
     spark = docs.sparkSession
     tok = chunk_tokenizer(tokenizer)
@@ -195,10 +199,11 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int = 2, max_bits: int =
     def run(batches):
         make_room("token files")
         code, ids, names, held, k, before = Code(book.value), [], [], 0, 0, 0
+        part = pa.array([TaskContext.get().partitionId()], pa.int32())
 
         def row():
             nonlocal ids, names, held, k, before
-            out = pa.RecordBatch.from_arrays([pa.array([k]), pa.array([names[0]], pa.int64()), pa.array([before], pa.int64()), pa.array([held], pa.int64()), pa.array([write_block(code, names, ids)], pa.binary())], ["block", "first_doc", "before", "n_tokens", "body"])
+            out = pa.RecordBatch.from_arrays([part, pa.array([k]), pa.array([names[0]], pa.int64()), pa.array([before], pa.int64()), pa.array([held], pa.int64()), pa.array([write_block(code, names, ids)], pa.binary())], ["part", "block", "first_doc", "before", "n_tokens", "body"])
             ids, names, held, k, before = [], [], 0, k + 1, before + held
             return out
 
@@ -215,8 +220,9 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int = 2, max_bits: int =
 
     path = new_path(spark, "huffman")
     files = max(spark.sparkContext.defaultParallelism, -(-int(counts.sum()) // tokens_per_file))
-    ordered = tokens.where("n >= 0").select("doc_id", "ids").repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(run, BLOCKS).write.parquet(f"{path}/blocks")
+    order = ("doc_id", "hash")
+    ordered = tokens.where("n >= 0").select("doc_id", "ids", F.xxhash64("ids").alias("hash")).repartitionByRange(files, *order).sortWithinPartitions(*order)
+    ordered.select("doc_id", "ids").mapInArrow(run, BLOCKS).write.parquet(f"{path}/blocks")
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").coalesce(1).write.parquet(f"{path}/codebook")
     drop(tokens)
     return path
@@ -226,15 +232,14 @@ def read_ids(spark, path: str, checksums: bool = False) -> DataFrame:
     """(doc_id, start, n_tokens, ids binary as little-endian unsigned 32-bit): decoded from the files. With ``checksums``
     the ids' crc32 (ids_crc32 long) in their place.
 
-    A block's start is the sum of all tokens in earlier files, and of those before it in its file, which its row has;
-    only one number a file goes to the driver. Any task can read any block.
+    A block's start is the sum of all tokens in earlier files (``part`` numbers them in order), and of those before it in its
+    file, which its row has; only one number a file goes to the driver. Any task can read any block.
     """
-    blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").withColumn("file", F.col("_metadata.file_path"))
+    blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
     lengths = spark.read.parquet(f"{path}/codebook").first()["lengths"]
-    heads = blocks.groupBy("file").agg(F.min("first_doc").alias("first"), F.max("first_doc").alias("last"), F.sum("n_tokens").alias("n")).collect()
     total, base = 0, {}
-    for r in sorted(heads, key=lambda r: (r["first"], r["last"])):
-        base[r["file"]] = total
+    for r in sorted(blocks.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()):
+        base[r["part"]] = total
         total += r["n"]
     book = shared(spark, "codebook", (np.frombuffer(bytes(lengths), np.uint8), base))
 
@@ -245,13 +250,13 @@ def read_ids(spark, path: str, checksums: bool = False) -> DataFrame:
         lengths, base = book.value
         code = Code(lengths)
         for batch in batches:
-            for file, before, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            for part, before, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 docs, sizes, ids = read_block(code, raw.as_py())
                 ends = np.cumsum(sizes)
-                starts = base[file] + before + ends - sizes
+                starts = base[part] + before + ends - sizes
                 ids32 = ids.astype("<u4")
                 each = [ids32[e - n : e].tobytes() for e, n in zip(ends.tolist(), sizes.tolist())]
                 last = pa.array([*map(zlib.crc32, each)], pa.int64()) if checksums else pa.array(each, pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(starts), pa.array(sizes), last], ["doc_id", "start", "n_tokens", name])
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts), pa.array(sizes), last], ["doc_id", "start", "n_tokens", name])
 
-    return blocks.select("file", "before", "body").mapInArrow(run, f"doc_id long, start long, n_tokens long, {name} {'long' if checksums else 'binary'}")
+    return blocks.select("part", "before", "body").mapInArrow(run, f"doc_id long, start long, n_tokens long, {name} {'long' if checksums else 'binary'}")

@@ -192,7 +192,8 @@ def test_code(n, limit):
         assert (code.decode(words, marks, size) == ids).all()
     raw = huffman.write_block(code, [5, 6], [ids[:1], ids[1:]])
     docs, sizes, back = huffman.read_block(code, raw)
-    assert docs.tolist() == [5, 6] and sizes.tolist() == [1, 999] and (back == ids).all()
+    assert docs == [5, 6] and sizes.tolist() == [1, 999] and (back == ids).all()
+    assert huffman.read_block(code, huffman.write_block(code, [None, 7], [ids[:1], ids[1:]]))[0] == [None, 7]
     with pytest.raises(ValueError):
         huffman.read_block(code, raw[:50] + bytes([raw[50] ^ 1]) + raw[51:])
 
@@ -221,7 +222,16 @@ def test_token_files(spark, data, docs, edge_docs, no_docs, word, vocab):
         assert got[r["doc_id"]] == (start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
     path = vocab.path("word_bpe_49k.json")
-    rows = huffman.read_ids(spark, huffman.write_ids(edge_docs, path)).orderBy("start").collect()
-    assert len(rows) == edge_docs.where("doc_id IS NOT NULL").count()
-    assert [r["doc_id"] for r in rows] == sorted(r["doc_id"] for r in rows)
+    hot = edge_docs.unionByName(spark.range(3000).selectExpr("if(id % 2 = 0, 7L, null) AS doc_id", "concat('again ', id) AS text"), allowMissingColumns=True)
+    for table in (edge_docs, hot):  # ids that are null or repeat
+        rows = huffman.read_ids(spark, huffman.write_ids(table, path, tokens_per_file=2000)).orderBy("start").collect()
+        order = [-1 if r["doc_id"] is None else r["doc_id"] for r in rows]
+        assert order == sorted(order)
+        at = 0
+        for r in rows:
+            assert r["start"] == at and len(r["ids"]) == 4 * r["n_tokens"]
+            at += r["n_tokens"]
+        plain = lambda doc, ids: (doc is None, doc, bytes(ids))
+        asked = [plain(r["doc_id"], np.array(word.encode(r["text"] or "", add_special_tokens=False).ids + [2], "<u4").tobytes()) for r in table.collect()]
+        assert sorted(map(repr, asked)) == sorted(repr(plain(r["doc_id"], r["ids"])) for r in rows)
     assert huffman.read_ids(spark, huffman.write_ids(no_docs, path)).count() == 0
