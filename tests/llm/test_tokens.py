@@ -150,6 +150,16 @@ def test_packing_edges(spark, edge_docs, no_docs, vocab):
     assert best_fit.pack(no_docs, path).count() == 0
 
 
+def test_packing_hardly_depends_on_the_tasks(spark, docs, vocab):
+    path = vocab.path("word_bpe_49k.json")
+    found = []
+    for tasks in (1, 40):
+        rows = best_fit.pack(docs.repartition(tasks, "doc_id"), path).collect()
+        found.append(len(pieces_are_packed(rows, 4096)))
+        least = -(-sum(r["length"] for r in rows) // 4096)
+    assert least <= found[0] and found[1] <= max(1.06 * found[0], found[0] + 1)
+
+
 def test_best_fit_against_scan():
     rng = random.Random(3)
     bins = best_fit.BestFit(100, 4)
