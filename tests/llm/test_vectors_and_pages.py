@@ -6,6 +6,8 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from murmura.llm import ann_forest, fagin, warc
@@ -34,23 +36,12 @@ def test_nearest_query(spark, data):
     assert hits >= 0.9 * len(got)
 
 
-def test_nearest_recall_when_leaves_are_left_out(spark, monkeypatch):
-    monkeypatch.setattr(ann_forest, "FEW", 0)
-    rng = np.random.default_rng(1)
-    x = rng.normal(size=(1500, 16)) + 4 * rng.normal(size=(1500, 1))
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    got = ann_forest.nearest(df, k=10, every=50, sample=400, leaf_size=16, search=0.9).collect()
-    hits = 0
-    for q in range(0, 1500, 50):
-        far = ((x - x[q]) ** 2).sum(axis=1)
-        far[q] = np.inf
-        hits += len(set(np.argsort(far)[:10].tolist()) & {r["vec_id"] for r in got if r["query_id"] == q})
-    assert hits >= 0.9 * 300
+def table_of(spark, x):
+    return spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x), pa.list_(pa.float64()))}))
 
 
-def recall_outside(spark, x, outside, every):
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    got = ann_forest.nearest(df, k=10, every=every).collect()
+def recall_outside(spark, x, outside, every, **settings):
+    got = ann_forest.nearest(table_of(spark, x), k=10, every=every, **settings).collect()
     asked, hits = [q for q in range(0, len(x), every) if outside[q]], 0
     for q in asked:
         far = ((x - x[q]) ** 2).sum(axis=1)
@@ -71,15 +62,43 @@ def test_nearest_recall_with_a_third_of_the_rows_equal(spark):
         assert [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == [i for i in first if i != q][:10]
 
 
-def test_nearest_leaves_rows_out_at_every_size(spark, monkeypatch):
-    asked = []
-    inner = ann_forest.save
-    monkeypatch.setattr(ann_forest, "save", lambda df, name: asked.append((name, inner(df, name))) or asked[-1][1])
-    x = np.random.default_rng(8).normal(size=(1500, 64))
-    recall, _ = recall_outside(spark, x, np.ones(1500, bool), 100)
-    probes = [r["probes"] for r in dict(asked)["queries"].collect()]
-    leaves = max(np.unpackbits(np.frombuffer(p, np.uint8)).sum() for p in probes)
-    assert recall >= 0.9 and leaves < 8 * -(-1500 // 64)
+@pytest.fixture
+def budgets(monkeypatch):
+    """The rows that queries were to meet."""
+    found, inner = [], ann_forest.measured_budget
+    monkeypatch.setattr(ann_forest, "measured_budget", lambda *a: found.append(inner(*a)) or found[-1])
+    return found
+
+
+def clustered(n, rng):
+    centres = 10 * rng.normal(size=(n // 100, 32))
+    return centres[rng.integers(0, len(centres), n)] + rng.normal(size=(n, 32))
+
+
+def test_nearest_cost_doesnt_grow_on_clusters(spark, budgets):
+    rng = np.random.default_rng(8)
+    for n in (5_000, 12_000, 40_000):
+        recall, _ = recall_outside(spark, clustered(n, rng), np.ones(n, bool), 400)
+        assert recall >= 0.9
+    assert max(budgets) <= 1200 and budgets[2] <= 2 * budgets[0] + 200
+
+
+def test_nearest_without_clusters_and_exact(spark, budgets):
+    x = np.random.default_rng(9).normal(size=(11_000, 32))
+    recall, _ = recall_outside(spark, x, np.ones(len(x), bool), 250)
+    assert recall >= 0.9 and budgets[0] < 8 * len(x)
+    recall, _ = recall_outside(spark, x[:2000], np.ones(2000, bool), 100, recall=1.0)
+    assert recall == 1.0
+
+
+def test_large_leaves_are_split(spark, monkeypatch, budgets):
+    monkeypatch.setattr(ann_forest, "LEAF_ROWS", 100)
+    monkeypatch.setattr(ann_forest, "LEAF_SAMPLE", 300)
+    rng = np.random.default_rng(10)
+    x = clustered(6_000, rng)
+    x[rng.random(6_000) < 1 / 3] = x[0]
+    recall, _ = recall_outside(spark, x, (x != x[0]).any(axis=1), 100, sample=500)
+    assert recall >= 0.9 and budgets[0] <= 3000
 
 
 def test_tree_sends_rows_where_it_was_grown():
@@ -90,26 +109,55 @@ def test_tree_sends_rows_where_it_was_grown():
     assert same.leaves == 1 and (same.leaf(np.ones((4, 5))) == 0).all()
 
 
-ODD = [(0, [1.0, 2.0], 1), (100, [1.0, 2.0], 2), (50, [2.0, 1.0], 3), (200, None, 4), (300, [None, 1.0], 5), (400, [float("nan"), 1.0], 6), (500, [float("inf"), 1.0], 7), (None, [1.0, 1.0], 8), (600, [0.0, 0.0], 9), (700, [1.0], 10), (0, [1.0, 2.0], 1), (1, [-1.0, -0.3], 2), (2, [-1.0, -0.3], 2)]
+ODD = [(0, [1.0, 2.0], 1), (100, [1.0, 2.0], 2), (50, [2.0, 1.0], 3), (200, None, 4), (300, [None, 1.0], 5), (400, [float("nan"), 1.0], 6), (500, [float("inf"), 1.0], 7), (None, [1.0, 1.0], 8), (600, [0.0, 0.0], 9), (700, [1.0], 10), (0, [1.0, 2.0], 1), (100, [3.0, 1.0], 4), (1, [-1.0, -0.3], 2), (2, [-1.0, -0.3], 2), (800, [1.0, 1.0, 1.0], 1), (8, [1.0, 2.0, 3.0], 1), (9, [], 1), (10, [0.0, -5.0, 2.0], 1)]
+
+
+def brute(rows, k, every, score, sign):
+    """(query_id, rank, vec_id, score) of each row against each other row of its length."""
+    out = []
+    for i, (q, x, _) in enumerate(rows):
+        if q % every == 0:
+            found = sorted((sign * score(x, y), v) for j, (v, y, _) in enumerate(rows) if j != i and len(x) == len(y))[:k]
+            out += [(q, r + 1, v, sign * s) for r, (s, v) in enumerate(found)]
+    return sorted(out)
 
 
 def test_vector_edges(spark):
-    df = spark.createDataFrame(ODD, "vec_id long, embedding array<double>, v int").withColumn("query_id", F.lit(1))
-    got = [(r["query_id"], r["rank"], r["vec_id"]) for r in ann_forest.nearest(df).orderBy("query_id", "rank").collect()]
-    assert got == [(0, 1, 100), (0, 2, 50), (0, 3, 1), (0, 4, 2), (100, 1, 0), (100, 2, 50), (100, 3, 1), (100, 4, 2)]
-    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in fagin.top_products(df, k=3).orderBy("query_id", "rank").collect()]
-    assert [g for g in got if g[0] == 0] == [(0, 1, 100, 256 * 256 * 5), (0, 2, 50, 256 * 256 * 4), (0, 3, 600, 0)]
-    assert [g for g in got if g[0] == 600] == [(600, 1, 0, 0), (600, 2, 1, 0), (600, 3, 2, 0)]
+    df = spark.createDataFrame(ODD, "vec_id long, embedding array<double>, v int").withColumn("query_id", F.lit(1)).withColumn("row", F.lit(1)).withColumn("d", F.lit(0))
+    part = [r for r in ODD if r[0] is not None and r[1] and None not in r[1] and np.isfinite(r[1]).all()]
+    far = lambda x, y: float(np.sqrt(((np.array(x) - np.array(y)) ** 2).sum()))
+    dot = lambda x, y: sum(int(np.floor(256 * a)) * int(np.floor(256 * b)) for a, b in zip(x, y))
+    rows = lambda df: sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in df.collect())
+    assert rows(ann_forest.nearest(df)) == brute([r for r in part if any(r[1])], 10, 100, far, 1)
+    assert rows(fagin.top_products(df, k=3)) == brute(part, 3, 50, dot, -1)
     for op in (ann_forest.nearest, fagin.top_products):
         assert op(df.where("false")).count() == 0 and op(df.where("vec_id = 50")).count() == 0
 
 
+def test_products_beyond_64_bits(spark):
+    df = spark.createDataFrame([(0, [1e30, 1.0]), (1, [1e30, 1.0]), (2, [-1e30, 1.0]), (3, [2.0, 1.0])], "vec_id long, embedding array<double>")
+    got = [(r["vec_id"], r["score"]) for r in fagin.top_products(df).where("query_id = 0").orderBy("rank").collect()]
+    assert got == [(1, 2**63 - 1), (3, 2**63 - 1), (2, -(2**63))]
+
+
+def test_products_with_a_score_taken_along(spark):
+    x = np.random.default_rng(6).integers(-3, 4, (3000, 8)) / 256.0
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in fagin.top_products(table_of(spark, x), k=5, ahead=200).collect())
+    y = (x * 256).astype(int)
+    expected = []
+    for q in range(0, 3000, 50):
+        s = y @ y[q]
+        first = [i for i in np.lexsort((np.arange(3000), -s)) if i != q][:5]
+        expected += [(q, r + 1, int(i), int(s[i])) for r, i in enumerate(first)]
+    assert got == sorted(expected)
+
+
 def test_threshold_algorithm_stops_and_is_exact():
     rng = np.random.default_rng(4)
     x = rng.integers(-5, 5, (3000, 6)) * (rng.random((3000, 1)) < 0.1) + rng.integers(-1, 2, (3000, 6))
     lists, ids, early = fagin.SortedLists(x), rng.permutation(3000), 0
     for q in rng.integers(-4, 5, (60, 6)):
-        rows, scores, depth = lists.top(q, 5, ids, -1)
+        rows, scores, depth = lists.top(q, 5, ids, ids < 0)
         true = x @ q
         expected = np.lexsort((ids, -true))[:5]
         assert ids[rows].tolist() == ids[expected].tolist() and scores.astype(int).tolist() == true[expected].tolist()
