@@ -220,26 +220,27 @@ class Index:
         return every.withColumn("met", met).where(F.col("met") - F.col("held") < goal).drop("far", "held")
 
     def search(self, queries: DataFrame, goal: float, k: int) -> DataFrame:
-        """(query, query_id, row, vec_id, score): the k nearest of each leaf that a query meets."""
+        """(query, query_id, row, vec_id, score): the k nearest (and what is as near) of each leaf that a query meets."""
         blocks = max(1, -(-queries.count() // QUERIES))
         asked = self.order(queries, goal).withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks))).drop("met")
         held = self.members.withColumn("block", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)"))) if blocks > 1 else self.members.withColumn("block", F.lit(0).cast("long"))
 
         def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
-            parts: list[list] = [[], [], [], [], []]
+            parts: list[list] = [[], [], []]
             if left.num_rows and right.num_rows:
-                x, numbers, ids = matrix(left), left["row"].to_numpy(), left["vec_id"].to_numpy()
-                for query, query_id, q in zip(right["query"].to_pylist(), right["query_id"].to_pylist(), matrix(right, "q")):
-                    far = np.sqrt(((x - q) ** 2).sum(axis=1))
-                    far[numbers == query] = np.inf
-                    some = np.arange(len(x))
-                    if len(x) > k + 1:
-                        some = np.flatnonzero(far <= np.partition(far, k)[k])
-                    some = some[np.lexsort((numbers[some], ids[some], far[some]))][:k]
-                    some = some[numbers[some] != query]
-                    for out, values in zip(parts, ([query] * len(some), [query_id] * len(some), numbers[some].tolist(), ids[some].tolist(), far[some].tolist())):
-                        out += values
-            return pa.table({n: pa.array(c, t) for n, c, t in zip(("query", "query_id", "row", "vec_id", "score"), parts, [pa.int64()] * 4 + [pa.float64()])})
+                x, q, numbers, of = matrix(left), matrix(right, "q"), left["row"].to_numpy(), right["query"].to_numpy()
+                step = max(1, (1 << 21) // x.size)
+                for at in range(0, len(q), step):
+                    far = np.sqrt(((x - q[at : at + step, None]) ** 2).sum(axis=2))
+                    far[of[at : at + step, None] == numbers] = np.inf
+                    edge = np.partition(far, k - 1, axis=1)[:, k - 1 : k] if len(x) > k else np.inf
+                    asked, some = np.nonzero((far <= edge) & (far < np.inf))  # ties included
+                    for out, values in zip(parts, (asked + at, some, far[asked, some])):
+                        out.append(values)
+            asked, some, far = (np.concatenate(p) if p else np.empty(0, np.int64) for p in parts)
+            near = right.select(["query", "query_id"]).take(pa.array(asked)) if len(asked) else right.select(["query", "query_id"]).slice(0, 0)
+            found = left.select(["row", "vec_id"]).take(pa.array(some)) if len(asked) else left.select(["row", "vec_id"]).slice(0, 0)
+            return pa.table({"query": near["query"], "query_id": near["query_id"], "row": found["row"], "vec_id": found["vec_id"], "score": pa.array(far, pa.float64())})
 
         keys = (*PLACE, "block")
         met = held.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(rerank, "query long, query_id long, row long, vec_id long, score double")
@@ -281,7 +282,7 @@ def measured_budget(index: Index, queries: DataFrame, k: int, recall: float, che
     return needed[min(len(needed) - 1, int(recall * len(needed)))] if needed else 1
 
 
-def nearest(table: DataFrame, k: int = 10, every: int = 100, trees: int = 8, sample: int = 20_000, leaf_size: int = 32, recall: float = 0.96, checks: int = 64, budget: int | None = None, seed: int = 5) -> DataFrame:
+def nearest(table: DataFrame, k: int = 10, every: int = 100, trees: int = 8, sample: int = 20_000, leaf_size: int = 64, recall: float = 0.96, checks: int = 48, budget: int | None = None, seed: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of table (vec_id, embedding) whose id ``every`` divides, the k nearest
     rows found by Euclidean distance, without itself.
 
