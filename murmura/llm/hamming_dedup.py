@@ -1,9 +1,10 @@
 """Near-duplicate components: a multi-index Hamming join over b-bit MinHash signatures, confirmed on full shingle sets.
 
-A signature has 12 chunks of 5 values of 16 bits. Two signatures that differ in at most 23 values have, by pigeonhole, a
-chunk with at most one difference; so each chunk is indexed five times, each time without one of its values, and all
-pairs under that distance meet under some key. At the lowest similarity sought (0.75) a pair meets nowhere with
-probability 0.3672 ** 12 = 6e-6. Documents with equal shingle sets are one class from the start.
+A signature has 24 chunks of 4 values of 16 bits. Two signatures that differ in at most 47 = 2 * 24 - 1 of the 96 values have, by
+pigeonhole, a chunk with at most one difference; so each chunk is indexed four times, each time without one of its values
+(the chunk errors allowed), and all pairs up to that distance meet under some key: that is the threshold, and no pair within
+it is missed. What is left to chance is whether signatures tell similarity: at the lowest sought (0.75) they differ in more
+than 47 values with probability 1e-7. Documents with equal shingle sets are one class from the start.
 
 Pairs within a key are not written out. First each class is compared with one other, its pivot: the smallest of the key
 that it shares most keys with. Then only classes that share a key but no component yet are looked at, and of their pairs
@@ -25,12 +26,11 @@ from pyspark.sql import functions as F
 from .common import drop, make_room, near_ids, save, slices, small_batches, texts_of
 from .shingles import MinHash, mix, shingle_sets
 
-CHUNKS, WIDTH = 12, 5
-#: Signatures are near if at most so many of the 60 values differ (a pair of similarity 0.75 differs in more with
-#: probability 1e-7).
-NEAR = 33
-#: Members of one key that a task compares with each other at once.
-BLOCK = 1500
+CHUNKS, WIDTH = 24, 4
+#: Signatures are near if at most so many of their values differ: all such pairs share a key.
+NEAR = 2 * CHUNKS - 1
+#: Members of one key that are compared with each other at once, and how many of them a task has in all.
+BLOCK, MEMBERS = 500, 4000
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -57,7 +57,7 @@ def index_keys(classes: DataFrame) -> DataFrame:
     def run(batches):
         rng = np.random.default_rng(11)
         salt = rng.integers(0, 1 << 63, (CHUNKS, WIDTH), dtype=np.uint64)
-        shift = np.array([0, 16, 32, 48], np.uint64)
+        shift = np.arange(WIDTH - 1, dtype=np.uint64) * np.uint64(16)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -194,6 +194,7 @@ def across(docs: DataFrame, classes: DataFrame, stars: DataFrame, percent: int)
     keys = index_keys(classes)
     mixed = keys.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("count")).where("low < high").select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     members = save(keys.join(mixed, "key").select("key", "id", "blocks"), "members")
+    dealt = members.agg(F.sum("blocks")).first()[0] or 0
     open_ids = members.select("id").distinct()
     known = classes.join(open_ids, "id").join(stars.select(F.col("b").alias("id"), F.col("a").alias("pivot"), "bits", "beyond"), "id", "left")
     known = save(known.withColumn("pivot", F.coalesce("pivot", "id")).withColumn("beyond", F.coalesce("beyond", F.lit(0).cast("long"))), "open")
@@ -217,7 +218,10 @@ def across(docs: DataFrame, classes: DataFrame, stars: DataFrame, percent: int)
         a, b = _near_pairs(t, table["bits"].to_pylist(), percent)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return members.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    # dealt by the number of members, as the work of one isn't told by its bytes
+    spark = docs.sparkSession
+    parts = max(4 * spark.sparkContext.defaultParallelism, -(-dealt // MEMBERS))
+    return members.repartition(parts, "key", "i", "j").groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:

@@ -243,6 +243,27 @@ def test_near_duplicates_in_blocks(spark, monkeypatch):
     check_components(hamming_dedup.near_duplicates(df).collect(), list(range(50)), texts)
 
 
+def test_all_signatures_within_the_distance_share_a_key(spark):
+    """Planted pairs that differ in exactly the threshold, in errors spread evenly and at random; one more may be missed."""
+    chunks, width, near = hamming_dedup.CHUNKS, hamming_dedup.WIDTH, hamming_dedup.NEAR
+    rng = np.random.default_rng(12)
+    size, rows, expected = chunks * width, [], []
+    for k in range(60):
+        one = rng.integers(0, 1 << 16, size).astype("<u2")
+        other = one.copy()
+        if k % 3 == 0:
+            wrong = rng.choice(size, near, replace=False)
+        else:  # two a chunk but for one that has one; and one beyond the threshold
+            wrong = np.concatenate([c * width + rng.choice(width, 2, replace=False) for c in range(chunks)])
+            wrong = rng.permutation(wrong)[: near + (k % 3 == 2)]
+        other[wrong] ^= 1
+        rows += [(2 * k, 2 * k, bytearray(one.tobytes())), (2 * k + 1, 2 * k + 1, bytearray(other.tobytes()))]
+        expected.append(k % 3 < 2)
+    keys = hamming_dedup.index_keys(spark.createDataFrame(rows, "id long, comp long, sig binary"))
+    met = {r["a"] for r in keys.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").collect()}
+    assert [2 * k in met for k in range(60)] == expected
+
+
 def test_components(spark):
     links = [(5, 4), (4, 3), (3, 2), (2, 1), (10, 9), (9, 8), (8, 10), (20, 20)] + [(100, i) for i in range(101, 140)]
     got = {r["id"]: r["comp"] for r in hamming_dedup.components(spark.createDataFrame(links, "a long, b long")).collect()}
