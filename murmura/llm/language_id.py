@@ -65,6 +65,10 @@ class KernelRidge:
         rows = bits.astype(np.float32)
         return (rows @ self._wide) / (np.sqrt(rows.sum(axis=1))[:, None] * self._size)
 
+    def kernels(self, bits: np.ndarray, at_once: int = 512) -> np.ndarray:
+        """The same for many rows."""
+        return np.concatenate([self.kernel(bits[i : i + at_once]) for i in range(0, len(bits), at_once)])
+
     def scores(self, bits: np.ndarray) -> np.ndarray:
         return self.kernel(bits) @ self.weights
 
@@ -76,7 +80,7 @@ class KernelRidge:
 
 
 def fit(bits: np.ndarray, langs: list[str], landmarks: int = 96, ridge: float = 1e-3) -> KernelRidge:
-    """``landmarks`` rows, spread evenly over the languages, span the Nystroem map of the kernel; on it, one ridge
+    """The first rows of each language, ``landmarks`` in all, spread evenly, span the Nystroem map of the kernel; on it, one ridge
     regression a language of 1 against 0, rows weighted so that each language counts alike."""
     languages = sorted(set(langs))
     truth = np.array([languages.index(x) for x in langs])
@@ -87,7 +91,7 @@ def fit(bits: np.ndarray, langs: list[str], landmarks: int = 96, ridge: float =
     values, vectors = np.linalg.eigh(model.kernel(bits[chosen]).astype(np.float64))
     keep = values > 1e-6 * values.max()
     to_map = vectors[:, keep] / np.sqrt(values[keep])
-    mapped = np.column_stack([model.kernel(bits) @ to_map])
+    mapped = model.kernels(bits) @ to_map
     weight = 1.0 / np.array([len(of[k]) for k in truth])
     target = (truth[:, None] == np.arange(len(languages))).astype(np.float64)
     gram = mapped.T @ (mapped * weight[:, None])
@@ -102,9 +106,10 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def learn(docs: DataFrame, per_language: int = 300, max_languages: int = 64, landmarks: int = 96) -> KernelRidge | None:
-    """Fit on a bounded sample: of each language the ``per_language`` documents whose ids hash lowest, of the
-    ``max_languages`` commonest languages; held-out documents and null languages are left out. The sample is chosen by
-    ids alone and its texts are turned into bits where they are. None if there is nothing to learn from."""
+    """Fit on a bounded sample: of each language the ``per_language`` rows whose ids hash lowest, of the ``max_languages``
+    commonest languages; held-out documents, null languages and texts without a letter are left out. The sample is chosen by
+    ids alone (of rows that repeat one, by their bits), its texts are turned into bits where they are, and its order, by
+    which the landmarks are taken, is that of the hashes. None if there is nothing to learn from."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     ids = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
     common = [r["lang"] for r in ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
@@ -116,13 +121,17 @@ def learn(docs: DataFrame, per_language: int = 300, max_languages: int = 64, lan
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                got = [(lang, np.packbits(bits).tobytes()) for lang, text in zip(part.column(1).to_pylist(), part.column(2).to_pylist()) if (bits := presence(text)) is not None]
-                yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.binary())], ["lang", "bits"])
+                got = [(doc, lang, np.packbits(bits).tobytes()) for doc, lang, text in zip(*(part.column(i).to_pylist() for i in range(3))) if (bits := presence(text)) is not None]
+                yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], t) for i, t in enumerate((pa.int64(), pa.string(), pa.binary()))], ["doc_id", "lang", "bits"])
 
-    rows = known.where(F.col("doc_id").isin(chosen)).mapInArrow(run, "lang string, bits binary").collect() if chosen else []
+    if not chosen:
+        return None
+    rows = known.where(F.col("doc_id").isin(chosen) & F.col("lang").isin(common)).mapInArrow(run, "doc_id long, lang string, bits binary").withColumn("h", F.xxhash64("doc_id"))
+    place = F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id", "bits"))  # ids may repeat
+    rows = rows.withColumn("r", place).where(F.col("r") <= per_language).collect()
     if not rows:
         return None
-    rows.sort(key=lambda r: (r["lang"], bytes(r["bits"])))
+    rows.sort(key=lambda r: (r["lang"], r["r"]))
     return fit(np.unpackbits(np.frombuffer(b"".join(bytes(r["bits"]) for r in rows), np.uint8).reshape(len(rows), -1), axis=1).astype(bool), [r["lang"] for r in rows], landmarks)
 
 

@@ -94,6 +94,41 @@ def test_presence_kernel():
     assert (a == b).all() and language_id.presence("12 !") is None and language_id.presence("\U00010400") is not None
 
 
+def plain_grams(text):
+    """Character 1- to 3-grams of the lower-cased letters, all else being one space, with one at both ends."""
+    letters = " " + " ".join(re.findall(r"[^\W\d_]+", text.lower())) + " "
+    return {letters[i : i + n] for n in (1, 2, 3) for i in range(len(letters) - n + 1)}
+
+
+def test_kernel_landmarks_and_ridge_against_a_plain_computation(docs):
+    rows = docs.where("lang IS NOT NULL AND length(text) BETWEEN 50 AND 3000").orderBy("doc_id").limit(120).collect()
+    assert len(rows) >= 100
+    langs = [r["lang"] for r in rows]
+    bits = np.array([language_id.presence(r["text"]) for r in rows])
+    model = language_id.fit(bits[:80], langs[:80], landmarks=12)
+    names, grams = model.languages, [plain_grams(r["text"]) for r in rows]
+    kernel = lambda a, b: len(a & b) / math.sqrt(len(a) * len(b))
+    marks = [i for x in names for i in [j for j in range(80) if langs[j] == x][: max(1, 12 // len(names))]]
+    full = np.array([[kernel(a, grams[i]) for i in marks] for a in grams])
+    chance = np.array([[math.sqrt(len(a) * len(grams[i])) / language_id.BUCKETS for i in marks] for a in grams])  # n-grams that share a bit
+    assert np.abs(model.kernels(bits) - full).max() < 0.07 and np.abs(model.kernels(bits) - full - chance).mean() < 0.015
+    full = model.kernels(bits).astype(float)
+    # the map: full times the inverse square root of the landmarks' own kernel; then weighted least squares with a penalty
+    u, s, _ = np.linalg.svd(full[marks])
+    mapped = full @ (u / np.sqrt(s)) @ u.T
+    weight = np.sqrt([1 / langs[:80].count(x) for x in langs[:80]])[:, None]
+    penalty = 1e-3 * ((mapped[:80] * weight) ** 2).sum() / len(marks)
+    a = np.vstack([mapped[:80] * weight, math.sqrt(penalty) * np.eye(len(marks))])
+    y = np.vstack([np.array([[float(x == n) for n in names] for x in langs[:80]]) * weight, np.zeros((len(marks), len(names)))])
+    assert np.abs(mapped @ np.linalg.lstsq(a, y)[0] - model.scores(bits)).max() < 1e-3
+
+
+def test_language_sample_is_bounded_by_row(spark, docs):
+    many = docs.where("lang IS NOT NULL").limit(40).unionByName(spark.range(3000).selectExpr("4L AS doc_id", "concat('palabra ', id) AS text", "'es' AS lang"), allowMissingColumns=True)
+    model = language_id.learn(many, per_language=20, landmarks=1000)
+    assert len(model.landmarks) <= 20 * len(model.languages)
+
+
 def kneser_ney(train, text, order=5):
     """Plain interpolated modified Kneser-Ney by its recursion."""
     counts = {n: Counter() for n in range(1, order + 1)}
