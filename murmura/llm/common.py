@@ -21,10 +21,13 @@ BROADCAST_IDS = 2_000_000
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``; where that is unset, a folder of our own in a local session, and
+    an error on a cluster, whose executors would write where nobody else reads."""
     global _own_dir
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if _own_dir is None:
             _own_dir = tempfile.mkdtemp(prefix="murmura-")
             atexit.register(shutil.rmtree, _own_dir, True)

@@ -2,7 +2,9 @@
 
 Archives are real ``.warc.gz`` files (one gzip member a record), written by Spark's text writer and so to any store it
 knows: the writer ends each row with a line separator, here the zero byte that ends every member of less than 16 MB
-(longer ones get an empty member behind them); the row leaves that byte out.
+(longer ones get an empty member behind them); the row leaves that byte out. Archives are cut by bytes, so that one fits in
+a task's memory when it is read back. They keep the writer's names (part-...txt), as renaming is copying on object stores;
+``name_archives`` renames them where that is cheap.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ EPOCH = datetime(2024, 1, 1, tzinfo=timezone.utc)
 INDEX = "urlkey string, timestamp string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, offset long, length long"
 #: A list of at most this many repeated payloads may be broadcast to the writers; a longer one is shuffled.
 BROADCAST_PAYLOADS = 500_000
+#: An archive ends with the record that takes it to so many bytes.
+ARCHIVE_BYTES = 64 << 20
 
 
 def url_key(url: str | None) -> str:
@@ -139,7 +143,7 @@ class LoserTree:
             self.tree[0] = winner
 
 
-def write_archives(pages: DataFrame, min_revisit_bytes: int = 0, records_per_file: int = 20_000) -> str:
+def write_archives(pages: DataFrame, min_revisit_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> str:
     """One record a row of pages (page_id, url, html); returns the folder. See ``captures`` for edge cases."""
     spark = pages.sparkSession
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("body"))
@@ -153,22 +157,36 @@ def write_archives(pages: DataFrame, min_revisit_bytes: int = 0, records_per_fil
     small_batches(spark)
 
     def run(batches):
+        archive, held = 0, 0
         for batch in batches:
             for part in slices(batch, "body"):
-                out = [record(p, u, b, r)[:-1] for p, u, b, r in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+                out, of = [], []
+                for p, u, b, r in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
+                    out.append(record(p, u, b, r)[:-1])
+                    of.append(archive)
+                    held += len(out[-1]) + 1
+                    if held >= archive_bytes:
+                        archive, held = archive + 1, 0
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(of, pa.int32())], ["value", "archive"])
 
     path = new_path(spark, "warc")
-    records = joined.select("page_id", "url", "body", refers.alias("refers_to")).mapInArrow(run, "value binary")
-    records.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", records_per_file).text(path)
+    records = joined.select("page_id", "url", "body", refers.alias("refers_to")).mapInArrow(run, "value binary, archive int")
+    # a task's archives are a folder each, in the order in which they were cut
+    records.select(F.col("value").cast("string").alias("value"), "archive").write.partitionBy("archive").option("lineSep", "\0").text(path)
     drop(repeated)
-    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    for status in fs.listStatus(spark._jvm.org.apache.hadoop.fs.Path(path)):
-        if status.getPath().getName().endswith(".txt"):
-            fs.rename(status.getPath(), spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{status.getPath().getName()[:-4]}.warc.gz"))
     return path
 
 
+def name_archives(spark: SparkSession, path: str) -> int:
+    """Give the archives below ``path`` names that end in .warc.gz; returns how many. A rename each, by the driver."""
+    place = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    fs, count = place(path).getFileSystem(spark._jsc.hadoopConfiguration()), 0
+    for status in fs.globStatus(place(f"{path}/archive=*/part-*.txt")):
+        old = status.getPath()
+        count += fs.rename(old, place(f"{old.getParent()}/{old.getName()[:-4]}.warc.gz"))
+    return count
+
+
 ORDER = ("urlkey", "timestamp", "page_id")
 
 
@@ -188,30 +206,33 @@ def capture_runs(spark: SparkSession, path: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             for file, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                name = file.rsplit("/", 1)[1]
+                name = "/".join(file.rsplit("/", 2)[1:])
                 rows = sorted((index_entry(*x, name) for x in read_records(raw.as_py())), key=_key)
                 for i in range(0, len(rows), 10_000):
                     yield _batch(rows[i : i + 10_000])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path)
     return files.select("path", "content").mapInArrow(run, INDEX)
 
 
-def merge_runs(runs: DataFrame, entries_per_task: int = 500_000) -> DataFrame:
+def merge_runs(runs: DataFrame, entries_per_task: int = 100_000) -> DataFrame:
     """Ranges of (URL key, timestamp, page), so that a URL with very many captures is cut by time; in each, the runs that
-    reach into it are merged by a loser tree. Rows come out in global order."""
+    reach into it are merged by a loser tree, of which a run that came in pieces is several. Rows come out in global
+    order."""
 
     def run(batches):
-        held: dict[str, list[tuple]] = {}
+        # each archive's entries as ascending pieces, in the order in which they came
+        held: list[list[tuple]] = []
+        last: dict[str, list[tuple]] = {}
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                held.setdefault(row[7], []).append(row)
-        for rows in held.values():
-            keys = [*map(_key, rows)]
-            if any(a > b for a, b in zip(keys, keys[1:])):  # a run that a retried fetch gave in pieces
-                rows.sort(key=_key)
+                piece = last.get(row[7])
+                if piece is None or _key(piece[-1]) > _key(row):
+                    piece = last[row[7]] = []
+                    held.append(piece)
+                piece.append(row)
         out = []
-        for row in LoserTree(list(held.values()), _key):
+        for row in LoserTree(held, _key):
             out.append(row)
             if len(out) == 10_000:
                 yield _batch(out)

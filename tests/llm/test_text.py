@@ -110,8 +110,7 @@ def test_kernel_landmarks_and_ridge_against_a_plain_computation(docs):
     kernel = lambda a, b: len(a & b) / math.sqrt(len(a) * len(b))
     marks = [i for x in names for i in [j for j in range(80) if langs[j] == x][: max(1, 12 // len(names))]]
     full = np.array([[kernel(a, grams[i]) for i in marks] for a in grams])
-    chance = np.array([[math.sqrt(len(a) * len(grams[i])) / language_id.BUCKETS for i in marks] for a in grams])  # n-grams that share a bit
-    assert np.abs(model.kernels(bits) - full).max() < 0.07 and np.abs(model.kernels(bits) - full - chance).mean() < 0.015
+    assert np.abs(model.kernels(bits) - full).max() < 0.07  # hashed n-grams share a bit now and then
     full = model.kernels(bits).astype(float)
     # the map: full times the inverse square root of the landmarks' own kernel; then weighted least squares with a penalty
     u, s, _ = np.linalg.svd(full[marks])
@@ -178,7 +177,7 @@ def test_quality_query(spark, data):
     got = {r["doc_id"]: r["accepted"] for r in op5_quality(spark, data).collect()}
     assert len(got) == spark.read.parquet(f"{data}/documents.parquet").count()
     good, bad = [d for d, q in labels.items() if q == 1], [d for d, q in labels.items() if q == 0]
-    assert sum(got[d] for d in good) >= 0.98 * len(good) and sum(got[d] for d in bad) <= 0.5 * len(bad)
+    assert sum(got[d] for d in good) >= 0.98 * len(good) and sum(got[d] for d in bad) <= 0.1 * len(bad)
 
 
 def test_quality_edges(spark, edge_docs, no_docs):

@@ -200,8 +200,29 @@ def test_archives(spark, data, tmp_path):
     assert {r["record_type"] for r in few if r["payload_bytes"] == 0} == {"response"}
 
 
-def test_archives_are_gzip(spark, data):
-    path = warc.write_archives(spark.read.parquet(f"{data}/pages.parquet"))
-    files = spark.read.format("binaryFile").load(f"{path}/*.warc.gz").collect()
-    text = b"".join(gzip.decompress(bytes(f["content"])) for f in files)
-    assert text.count(b"WARC/1.1\r\n") >= spark.read.parquet(f"{data}/pages.parquet").count()
+def test_archives_are_gzip_and_cut_by_bytes(spark, data):
+    pages = spark.read.parquet(f"{data}/pages.parquet")
+    path = warc.write_archives(pages, archive_bytes=5_000)
+    archives = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path).collect()
+    assert len(archives) > 5
+    count = 0
+    for f in archives:
+        raw = bytes(f["content"])
+        members = [n for _, n, _, _ in warc.read_records(raw)]
+        assert len(raw) - members[-1] < 5_000
+        count += gzip.decompress(raw).count(b"WARC/1.1\r\nWARC-Type")
+    assert count == pages.count()
+    assert warc.name_archives(spark, path) == len(archives)
+    rows = warc.merge_runs(warc.capture_runs(spark, path), entries_per_task=50).collect()
+    order = [(r["urlkey"], r["timestamp"], r["page_id"]) for r in rows]
+    assert order == sorted(order) and len(rows) == count and all(r["file"].endswith(".warc.gz") for r in rows)
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from murmura.llm.common import scratch_root
+
+    other = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://x:7077", applicationId="a"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch_root(other)
