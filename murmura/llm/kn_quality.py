@@ -5,21 +5,20 @@ are continuation counts, as the method has it. The model is a table of distinct
 two bytes before the predicted one: all higher orders of a 5-gram, their contexts included, lie in its shard, and the two
 lowest orders are a table of 256 x 256 probabilities, sent everywhere.
 
-Scoring is a join of counts: documents are read in blocks, each block asks the shards for its distinct 5-grams, the
-shards answer with log probabilities, and the answers meet the block's (compressed) texts again. So what travels is the
-texts once and a block's distinct 5-grams, not one row a position.
+Scoring is a join of counts: documents are written as (compressed) blocks, each block asks the shards for its distinct
+5-grams, the shards answer with log probabilities, and the answers meet the block's texts again. So what travels is the
+texts once and a block's distinct 5-grams, not one row a position. A shard that is asked for much is dealt over copies.
 """
 
 from __future__ import annotations
 
-import hashlib
-import zlib
-
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranges import quantiles
 from .common import drop, make_room, near_ids, save, shared, slices, small_batches
 
 ORDER = 5
@@ -29,8 +28,11 @@ _CLEAN = bytes(0x20 if b < 0x20 or b == 0x7F else b for b in range(256))
 BLOCK_BYTES = 8 << 20
 #: Bytes of a text that is long enough to set limits by (where a language has any such).
 LONG = 200
-#: 5-grams of the model, and asked for, that one task holds.
-SHARD_GRAMS, SHARD_ASKED = 250_000, 8_000_000
+#: 5-grams of the model that a task holds on average (a shard is at least one two-byte context, whose 5-grams are at most
+#: 2 ** 24 whatever the corpus), and 5-grams asked for that one task is to hold.
+SHARD_GRAMS, SHARD_ASKED = 250_000, 3_000_000
+#: About so many distinct 5-grams are in a block.
+BLOCK_GRAMS = 150_000
 
 
 def canonical(text: str | None) -> bytes:
@@ -141,28 +143,39 @@ def shard_scores(model_keys: np.ndarray, model_counts: np.ndarray, asked: np.nda
     return np.log(p)
 
 
-def _blocks(batches, names: tuple[str, ...]):
-    """Lists of rows of about BLOCK_BYTES of text."""
-    rows, size = [], 0
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            text = canonical(row[-1])
-            if rows and size + len(text) > BLOCK_BYTES:
-                yield rows
-                rows, size = [], 0
-            rows.append((*row[:-1], text))
-            size += len(text)
-    if rows:
-        yield rows
+def blocks(docs: DataFrame) -> DataFrame:
+    """(block, ids, langs, z): rows of about BLOCK_BYTES of canonical text, compressed together; a saved table, so that
+    whatever is made of a block later is made of the same rows."""
+
+    def run(batches):
+        make_room("quality")
+        place, k = TaskContext.get().partitionId() << 32, 0
+        rows, size = [], 0
+
+        def row():
+            nonlocal rows, size, k
+            z = pa.Codec("zstd", 7).compress(b"\x01".join(r[2] for r in rows), asbytes=True)
+            sizes = sum(len(r[2]) for r in rows) + len(rows) - 1
+            out = pa.RecordBatch.from_arrays([pa.array([place + k]), pa.array([[r[0] for r in rows]], pa.list_(pa.int64())), pa.array([[r[1] for r in rows]], pa.list_(pa.string())), pa.array([sizes]), pa.array([z], pa.binary())], ["block", "ids", "langs", "size", "z"])
+            rows, size, k = [], 0, k + 1
+            return out
+
+        for batch in batches:
+            for doc, lang, text in zip(*(c.to_pylist() for c in batch.columns)):
+                text = canonical(text)
+                if rows and size + len(text) > BLOCK_BYTES:
+                    yield row()
+                rows.append((doc, lang, text))
+                size += len(text)
+        if rows:
+            yield row()
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
+    return save(rows.mapInArrow(run, "block long, ids array<long>, langs array<string>, size long, z binary"), "blocks")
 
 
-def _name(rows: list[tuple]) -> int:
-    """A block's name is made from what is in it, so a block that is made again (a lost task) has the same one."""
-    h = hashlib.blake2b(digest_size=8)
-    for doc, _, text in rows:
-        h.update(f"{doc},{len(text)};".encode())
-        h.update(text)
-    return int.from_bytes(h.digest(), "little", signed=True)
+def _unpack(z: bytes, size: int) -> list[bytes]:
+    return pa.Codec("zstd").decompress(z, size, asbytes=True).split(b"\x01")
 
 
 def perplexity(docs: DataFrame, counts: DataFrame) -> DataFrame:
@@ -182,17 +195,28 @@ def perplexity(docs: DataFrame, counts: DataFrame) -> DataFrame:
 
     small_batches(spark)
 
+    payload = blocks(docs)
+    total = payload.agg(F.sum("size")).first()[0] or 0
+    shard = F.expr(f"((shiftright(gram, 8) & 65535) * 2654435761) % 4294967296 % {shards}")
+    # how often a shard is asked is as its part of the model: one number a shard
+    per_block = np.zeros(shards)
+    for r in counts.groupBy(shard.alias("shard")).count().collect():
+        per_block[r["shard"]] = BLOCK_GRAMS * r["count"] / size
+    copies = np.maximum(1, np.ceil(per_block * (total / BLOCK_BYTES) / SHARD_ASKED)).astype(np.int64)
+    box = shared(spark, "copies", copies)
+
     def ask(batches):
         make_room("quality")
-        for rows in _blocks(batches, ()):
-            asked = np.unique(np.concatenate([np.unique(grams([r[2] for r in rows[i : i + 64]])[0]) for i in range(0, len(rows), 64)]))
-            of = ((asked >> 8) & 0xFFFF) * 2654435761 % 4294967296 % shards
-            order = np.argsort(of, kind="stable")
-            asked, of = asked[order], of[order]
-            cut = [*np.flatnonzero(np.diff(of, prepend=-1)).tolist(), len(of)]
-            name = _name(rows)
-            out = [(int(of[a]), name, asked[a:b].tobytes()) for a, b in zip(cut, cut[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["shard", "block", "asked"])
+        for batch in batches:
+            for name, size, z in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                texts = _unpack(z, size)
+                asked = np.unique(np.concatenate([np.unique(grams(texts[i : i + 64])[0]) for i in range(0, len(texts), 64)]))
+                of = ((asked >> 8) & 0xFFFF) * 2654435761 % 4294967296 % shards
+                order = np.argsort(of, kind="stable")
+                asked, of = asked[order], of[order]
+                cut = [*np.flatnonzero(np.diff(of, prepend=-1)).tolist(), len(of)]
+                out = [(int(of[a]), (name + (name >> 32)) % int(box.value[of[a]]), name, asked[a:b].tobytes()) for a, b in zip(cut, cut[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["shard", "copy", "block", "asked"])
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
         cuts, low = model.value
@@ -202,42 +226,28 @@ def perplexity(docs: DataFrame, counts: DataFrame) -> DataFrame:
         out = [scored[np.searchsorted(distinct, x)].tobytes() for x in lists]
         return pa.table({"block": right["block"], "asked": right["asked"], "logs": pa.array(out, pa.binary())})
 
-    def texts(batches):
-        make_room("quality")
-        for rows in _blocks(batches, ()):
-            z = zlib.compress(b"\x01".join(r[2] for r in rows), 6)
-            yield pa.RecordBatch.from_arrays([pa.array([_name(rows)], pa.int64()), pa.array([[r[0] for r in rows]], pa.list_(pa.int64())), pa.array([[r[1] for r in rows]], pa.list_(pa.string())), pa.array([z], pa.binary())], ["block", "ids", "langs", "z"])
-
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[list] = [[], [], [], []]
         if left.num_rows:
             known = [np.concatenate([np.frombuffer(x, t) for x in right[c].to_pylist()] or [np.empty(0, t)]) for c, t in (("asked", np.int64), ("logs", np.float32))]
             order = np.argsort(known[0])
             keys, logs = known[0][order], known[1][order].astype(np.float64)
-            for ids, langs, z in zip(left["ids"].to_pylist(), left["langs"].to_pylist(), left["z"].to_pylist()):
-                data = zlib.decompress(z).split(b"\x01")
+            for ids, langs, size, z in zip(*(left[c].to_pylist() for c in ("ids", "langs", "size", "z"))):
+                data = _unpack(z, size)
                 for i in range(0, len(data), 64):
                     got, sizes = grams(data[i : i + 64])
-                    where = np.minimum(np.searchsorted(keys, got), len(keys) - 1)
-                    if not len(keys) or (keys[where] != got).any():
-                        raise RuntimeError("a block differs from the one that asked: its input rows came in another order; save the input first")
-                    total = np.add.reduceat(logs[where], np.cumsum(sizes) - sizes)
+                    total = np.add.reduceat(logs[np.searchsorted(keys, got)], np.cumsum(sizes) - sizes)
                     out[2] += (sizes - 1).tolist()
                     out[3] += np.exp(-total / sizes).tolist()
                 out[0] += ids
                 out[1] += langs
         return pa.table({n: pa.array(c, t) for n, c, t in zip(("doc_id", "lang", "n_bytes", "perplexity"), out, (pa.int64(), pa.string(), pa.int64(), pa.float64()))})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
-    asks = rows.mapInArrow(ask, "shard long, block long, asked binary")
-    # beyond what a task can hold, a shard's askers are dealt over copies of its part of the model
-    blocks = -(-rows.agg(F.sum(F.octet_length("text"))).first()[0] // BLOCK_BYTES) if size else 0
-    copies = max(1, -(-blocks * 150_000 // (shards * SHARD_ASKED)))
-    placed = counts.withColumn("shard", F.expr(f"((shiftright(gram, 8) & 65535) * 2654435761) % 4294967296 % {shards}"))
-    placed = placed.withColumn("copy", F.explode(F.expr(f"sequence(0L, {copies - 1}L)")))
-    asks = asks.withColumn("copy", F.pmod("block", F.lit(copies)))
+    asks = payload.select("block", "size", "z").mapInArrow(ask, "shard long, copy long, block long, asked binary")
+    dealt = spark.createDataFrame([(k, int(n)) for k, n in enumerate(copies) if n > 1], "shard long, copies long")  # at most 65,536 rows
+    placed = counts.withColumn("shard", shard).join(F.broadcast(dealt), "shard", "left")
+    placed = placed.select("gram", "c", "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("copies", F.lit(1).cast("long")) - 1)).alias("copy"))
     answers = placed.groupBy("shard", "copy").cogroup(asks.groupBy("shard", "copy")).applyInArrow(answer, "block long, asked binary, logs binary")
-    payload = rows.mapInArrow(texts, "block long, ids array<long>, langs array<string>, z binary")
     return payload.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, "doc_id long, lang string, n_bytes long, perplexity double")
 
 
@@ -247,13 +257,13 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return good.where("q = 1").select("doc_id")
 
 
-def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, slack: float = 1.0, evidence: float = 15.0) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, evidence: float = 15.0) -> DataFrame:
     """(doc_id, lang, n_bytes, perplexity, threshold, accepted) for each row of docs (doc_id, lang, text).
 
     Trained on the full texts of the documents that labels (doc_id, quality) call good, but for a fifth of them, by a hash of
     their ids; on those, which the model hasn't seen, the limits are set. A document is accepted if its perplexity is at
-    most ``slack`` times the ``quantile`` of that fifth in its language, or its whole text is less
-    than ``evidence`` nats beyond that (a few words prove nothing); languages without any take the quantile over all (null
+    most the ``quantile`` of that fifth in its language (exact, so the same in every run), or its whole text is less than
+    ``evidence`` nats beyond that: odds of three million to one, as a few words prove nothing; languages without any take the quantile over all (null
     languages are one language). Null and empty texts are accepted, having nothing to judge
     (their perplexity is that of the bare end mark). Without trusted text everything is accepted. Repeated doc_ids are
     judged row by row; a null doc_id is scored as any. An empty table gives no rows.
@@ -268,10 +278,13 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, slack: fl
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), none.alias("perplexity"), none.alias("threshold"), F.lit(True).alias("accepted"))
     scores = save(perplexity(docs, counts), "perplexity")
     good = save(near_ids(scores.where("n_bytes > 0"), ids.where("unseen"), "doc_id", "left_semi").select("lang", "n_bytes", "perplexity"), "limits")
-    long = F.when(F.col("n_bytes") >= LONG, F.col("perplexity"))  # short texts scatter; ``evidence`` is for them
-    limit = F.coalesce(F.percentile_approx(long, quantile, 10_000), F.percentile_approx("perplexity", quantile, 10_000)) * slack
-    limits = good.groupBy("lang").agg(limit.alias("own"))
-    overall = good.agg(limit).first()[0] or float("inf")
-    limits = limits.withColumnRenamed("lang", "__lang")
+    # short texts scatter, ``evidence`` is for them: limits come from long ones, where a language has any
+    far = good.withColumn("long", F.when(F.col("n_bytes") >= LONG, F.col("perplexity")))
+    first = lambda by: [quantiles(far, by, c, [quantile]).select(*by, F.col("value").alias(c)) for c in ("long", "perplexity")]
+    long, short = first(["lang"])
+    limits = short.select(F.col("lang").alias("__lang"), F.col("perplexity").alias("__short")).join(long.select(F.col("lang").alias("__of"), "long"), F.col("__lang").eqNullSafe(F.col("__of")), "left")
+    limits = save(limits.select("__lang", F.coalesce("long", "__short").alias("own")), "language-limits")
+    every = [q.first() for q in first([])]
+    overall = next((r[0] for r in every if r), float("inf"))
     out = scores.join(limits, F.col("lang").eqNullSafe(F.col("__lang")), "left").withColumn("threshold", F.coalesce("own", F.lit(overall)))
     return out.select("doc_id", "lang", "n_bytes", "perplexity", "threshold", ((F.col("n_bytes") == 0) | (F.col("perplexity") <= F.col("threshold")) | ((F.col("n_bytes") + 1) * F.log(F.col("perplexity") / F.col("threshold")) <= evidence)).alias("accepted"))
