@@ -2,24 +2,26 @@
 
 Words are runs of letters and digits, lower-cased; shingles are three words (a notice of five words must have several).
 A document's shingles are cut into windows of 8 that start every 4; a template likewise. Each of 16 bands is one min-hash
-of a window. A notice of 3 shingles lies in one window whole, where its similarity is at least 3/8, so that some band
-meets it with probability 1 - (5/8) ** 16 = 0.9995; longer ones do better, and a long template has many windows. Of a
-template that must be held whole (at 0.75, one of at most 3 shingles) the first shingle itself is looked for. A template
-met is verified: the part of its shingles that the whole document holds must reach the threshold. The
-templates are a bounded parameter and stand in the plan as literals. Windows are rows, so that their min-hashes are compiled
-code; only the few (document, template) meetings are shuffled, and the texts they name are read again where they are.
+of a window, so windows of similarity s share a band with probability 1 - (1 - s) ** 16. A notice of 3 shingles lies in one
+window whole, where its similarity is at least 3/8: 0.9995; one of 4, of which 3 are left, has 3/9 at least: 0.998; longer
+ones do better, and a long template has many windows. Of a template that must be held whole (at 0.75, one of at most 3
+shingles) the first shingle itself is looked for. Templates are a table, and so may be whole license texts: their
+bands are joined with the documents' and a template met is verified on its shingles, the part of them that the whole document
+holds having to reach the threshold. Windows and bands are rows, so that min-hashes are compiled code; only the few
+(document, template) meetings are shuffled, and the texts they name are read again where they are.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import near_ids, save
+from .common import save
+from .license_texts import TEXTS
 
 SHINGLE, WINDOW, STRIDE, BANDS = 3, 8, 4, 16
+#: Templates of at most so many shingles in all, and their keys, and meetings of at most so many documents may be broadcast.
+BROADCAST_SHINGLES, BROADCAST_DOCS = 1_000_000, 500_000
 
 
 def _gnu(kind: str, version: str, what: str = "program") -> list[str]:
@@ -75,6 +77,7 @@ TEMPLATES: dict[str, list[str]] = {
 #: Identifiers in file headers; the names above are SPDX's but for BSD's two and the notice that is no license.
 for _name, _texts in TEMPLATES.items():
     if _name != "All-Rights-Reserved":
+        _texts += [text for name, text in TEXTS if name == _name]
         _texts += [f"SPDX-License-Identifier: {x}" for x in (("BSD-2-Clause", "BSD-3-Clause") if _name == "BSD" else (_name,))]
 
 
@@ -89,13 +92,6 @@ def _shingles(words: str) -> Column:
     return F.when(n >= 1, rolled).otherwise(F.array().cast("array<bigint>"))
 
 
-def _turn(band: int) -> int:
-    """The constant that a band's hashes are turned by (exclusive or), so that each band has another order of them."""
-    x = (band + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1
-    x = (x ^ x >> 31) * 0xD6E8FEB86659FD93 & (1 << 64) - 1
-    return x - (1 << 64) if x >> 63 else x
-
-
 def _windows() -> Column:
     """The windows of ``shingles`` as arrays; one, empty, without a shingle."""
     return F.transform(F.sequence(F.lit(1), F.greatest(F.size("shingles"), F.lit(1)), F.lit(STRIDE)), lambda s: F.slice("shingles", s, WINDOW))
@@ -107,67 +103,63 @@ def _items() -> list[Column]:
     return [F.coalesce(F.get("w", F.lit(j)), first).alias(f"x{j}") for j in range(WINDOW)]
 
 
-def _bands() -> list[Column]:
-    """The min-hashes of x0..x7, a band each."""
-    return [F.least(*[F.col(f"x{j}").bitwiseXOR(F.lit(_turn(k))) for j in range(WINDOW)]) for k in range(BANDS)]
-
-
-def _index(spark: SparkSession, templates: dict[str, list[str]]) -> list[dict]:
-    """For each template its license, distinct shingles in order and, by band, the min-hashes of its windows."""
-    texts = [(name, text) for name, all_texts in sorted(templates.items()) for text in all_texts]
-    df = spark.createDataFrame(texts, "license string, text string").withColumn("words", _words(F.col("text")))
-    df = df.withColumn("shingles", _shingles("words")).where(F.size("shingles") > 0)
-    rows = df.select("license", F.array_distinct("shingles").alias("once"), F.explode(_windows()).alias("w")).select("license", "once", *_items()).select("license", "once", F.array(*_bands()).alias("keys"))
-    rows = rows.groupBy("license", F.col("once").alias("shingles")).agg(F.collect_list("keys").alias("keys"))
-    return sorted((r.asDict() for r in rows.collect()), key=lambda r: (r["license"], r["shingles"]))  # a row a template
+def _keys(df: DataFrame, firsts: bool) -> DataFrame:
+    """``df`` (with x0..x7) with a row for each ``key``: the min-hash of each band and, if wanted, the window's first
+    ``STRIDE`` shingles, which over all windows are each shingle once."""
+    extra = STRIDE if firsts else 0
+    items, rest = [f"x{j}" for j in range(WINDOW)], [c for c in df.columns if c[0] != "x"]
+    rows = df.select(*rest, *items, F.explode(F.array(*[F.lit(k) for k in range(BANDS + extra)])).alias("band"))
+    key = F.when(F.col("band") < BANDS, F.least(*[F.when(F.col(x).isNotNull(), F.xxhash64(x, "band")) for x in items]))
+    for j in range(extra):
+        key = key.when(F.col("band") == BANDS + j, F.col(f"x{j}"))
+    return rows.select(*rest, key.alias("key"))
 
 
-def _longs(values) -> Column:
-    values = sorted(set(values))
-    return F.array(*[F.lit(v).cast("bigint") for v in values]) if values else F.array().cast("array<bigint>")
+def template_table(spark: SparkSession, templates: dict[str, list[str]] | DataFrame) -> DataFrame:
+    """(template, license, whole): a number, the license and the distinct shingles in order of each of the templates, given
+    as texts by license or as a table (license, text). A saved table."""
+    if isinstance(templates, dict):
+        templates = spark.createDataFrame([(name, text) for name, texts in sorted(templates.items()) for text in texts], "license string, text string")
+    rows = templates.where("license IS NOT NULL").select("license", _words(F.col("text")).alias("words")).select("license", F.array_distinct(_shingles("words")).alias("whole"))
+    return save(rows.where(F.size("whole") > 0).distinct().select(F.xxhash64("license", "whole").alias("template"), "license", "whole"), "templates")
 
 
-def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, containment: float = 0.75) -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, list[str]] | DataFrame | None = None, containment: float = 0.75) -> DataFrame:
     """(doc_id, license, shingles, found, containment): a row for each license that a row of docs (doc_id, text) holds a
     template of, by its best template. A template all of whose found shingles are those of one found better (another
     version's notice, say) doesn't count.
 
     ``found`` of the template's ``shingles`` distinct shingles are in the whole text. Null and empty texts, and templates
-    of fewer than three words, match nothing; doc_ids may repeat or be null; other columns are ignored.
+    of fewer than three words, match nothing; doc_ids may repeat or be null, each row being judged by its own text; other
+    columns are ignored. ``templates``: texts by license, or a table (license, text) of any size.
     """
-    index = _index(docs.sparkSession, TEMPLATES if templates is None else templates)
-    if not index:
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit("").alias("license"), F.lit(0).alias("shingles"), F.lit(0).alias("found"), F.lit(0.0).alias("containment")).where("false")
     spark = docs.sparkSession
+    table = template_table(spark, TEMPLATES if templates is None else templates)
+    total = table.agg(F.sum(F.size("whole"))).first()[0] or 0
+    few = (lambda df: F.broadcast(df)) if total <= BROADCAST_SHINGLES else (lambda df: df)
+    # at this threshold a template of few shingles must be held whole
+    short = F.size("whole") - 1 < containment * F.size("whole")
+    windows = table.where(~short).select("template", F.col("whole").alias("shingles")).select("template", F.explode(_windows()).alias("w")).select("template", *_items())
+    of = _keys(windows, False).unionByName(table.where(short).select("template", F.get("whole", F.lit(0)).alias("key")))
+    of = save(of.distinct(), "template-keys")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    # what a lambda or a filter refers to is computed in it, so shingles and windows are columns of their own, referred to
-    # more than once, and windows are exploded without a filter on their number
-    shingled = lambda df: df.select("doc_id", _words(F.col("text")).alias("words")).select("doc_id", _shingles("words").alias("shingles"))
-    whole = {i: t["shingles"][0] for i, t in enumerate(index) if len(t["shingles"]) - 1 < containment * len(t["shingles"])}
-    wanted = [sorted({w[k] for i, t in enumerate(index) if i not in whole for w in t["keys"]}) for k in range(BANDS)]
-    firsts = sorted(set(whole.values()))
-    met = shingled(rows.where("doc_id IS NOT NULL")).select("doc_id", F.explode_outer(_windows()).alias("w")).select("doc_id", *_items())
-    # the higher-order function keeps this filter out of whole-stage code: as one method it would be too long for the JVM to
-    # compile, as an ordinary predicate it is cut into short ones
-    plain = F.exists(F.array("x0"), lambda x: x.isNotNull())
-    items = [F.col(f"x{j}") for j in range(WINDOW)]
-    among = [b.isin(w) for b, w in zip(_bands(), wanted) if w] + [x.isin(firsts) for x in items if firsts]
-    met = met.where(reduce(lambda a, b: a | b, among) & plain).select("doc_id", F.explode(F.array(*_bands(), *items)).alias("key"))
-    of = spark.createDataFrame([(i, k) for i, t in enumerate(index) for k in ({whole[i]} if i in whole else {k for w in t["keys"] for k in w})], "template int, key long")
-    met = save(met.join(F.broadcast(of), "key").groupBy("doc_id").agg(F.collect_set("template").alias("templates")), "licenses-met")
-    # texts without a doc_id can't be asked for by it: all templates are verified on them
-    again = near_ids(rows.where("doc_id IS NOT NULL"), met, "doc_id", "left_semi").select("doc_id", "text").unionByName(rows.where("doc_id IS NULL"))
-    df = shingled(again).join(met.withColumnRenamed("doc_id", "__doc"), F.col("doc_id") == F.col("__doc"), "left").drop("__doc")
-    known = F.array(*[F.struct(F.lit(i).alias("template"), F.lit(t["license"]).alias("license"), _longs(t["shingles"]).alias("shingles")) for i, t in enumerate(index)])
-    near = F.filter(known, lambda t: F.col("templates").isNull() | F.array_contains("templates", t["template"]))
-    checked = F.transform(near, lambda t: F.struct(t["license"].alias("license"), t["shingles"].alias("whole"), F.array_intersect(t["shingles"], F.col("shingles")).alias("held")))
-    df = df.select("doc_id", F.filter(checked, lambda t: F.size(t["held"]) >= containment * F.size(t["whole"])).alias("all"))
-    part = lambda t: F.struct((F.size(t["held"]) / F.size(t["whole"])).alias("containment"), F.size(t["whole"]).alias("shingles"))
+    # shingles are a column of their own, as what a lambda refers to is computed in it
+    shingled = lambda df, *more: df.select(*more, "doc_id", _words(F.col("text")).alias("words")).select(*more, "doc_id", _shingles("words").alias("shingles"))
+    met = shingled(rows).select("doc_id", F.explode_outer(_windows()).alias("w")).select("doc_id", *_items())
+    met = _keys(met, True).join(few(of), "key")
+    met = save(met.groupBy("doc_id", "template").agg(F.lit(1).alias("once")).groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("template").alias("templates")), "licenses-met")
+    asked = F.broadcast(met) if met.count() <= BROADCAST_DOCS else met
+    again = rows.withColumn("row", F.monotonically_increasing_id()).join(asked, F.col("doc_id").eqNullSafe(F.col("__doc")))
+    each = shingled(again, "row", "templates").select("row", "doc_id", "shingles", F.explode("templates").alias("template"))
+    held = each.join(few(table), "template").select("row", "doc_id", "license", F.size("whole").alias("of"), F.array_intersect("whole", "shingles").alias("held"))
+    held = held.where(F.size("held") >= containment * F.col("of"))
+    df = held.groupBy("row", "doc_id").agg(F.collect_list(F.struct("license", "of", "held")).alias("all"))
+    part = lambda t: F.struct((F.size(t["held"]) / t["of"]).alias("containment"), t["of"].alias("shingles"))
     better = lambda u, t: part(u) > part(t)
     covers = lambda u, t: (u["license"] == t["license"]) | (F.size(F.array_except(t["held"], u["held"])) == 0)
     kept = F.filter("all", lambda t: ~F.exists("all", lambda u: better(u, t) & covers(u, t)))
-    rows = F.transform(kept, lambda t: F.struct(t["license"].alias("license"), F.size(t["whole"]).alias("shingles"), F.size(t["held"]).alias("found")))
-    df = df.select("doc_id", F.explode_outer(F.array_distinct(rows)).alias("m")).where("m IS NOT NULL")
+    found = F.transform(kept, lambda t: F.struct(t["license"].alias("license"), t["of"].alias("shingles"), F.size(t["held"]).alias("found")))
+    df = df.select("doc_id", F.explode(F.array_distinct(found)).alias("m"))
     return df.select("doc_id", "m.license", "m.shingles", "m.found", (F.col("m.found") / F.col("m.shingles")).alias("containment"))
 
 

@@ -38,6 +38,8 @@ def test_license_edges(spark, edge_docs, no_docs):
     odd = spark.createDataFrame([(None, text), (7, text), (7, text), (8, "licensed under the gnu general public")], "doc_id long, text string")
     got = sorted(((r["doc_id"] is None, r["license"], r["found"]) for r in license_scan.scan(odd).collect()))
     assert got == [(False, "GPL-3.0", 7)] * 2 + [(True, "GPL-3.0", 7)]
+    again = spark.createDataFrame([(7, text), (7, "released under the mit license"), (7, "nothing"), (None, "nothing")], "doc_id long, text string")
+    assert sorted(r["license"] for r in license_scan.scan(again).collect()) == ["GPL-3.0", "MIT"]
 
 
 def test_licenses_beyond_the_tables(spark):
@@ -66,6 +68,33 @@ def test_license_version_matters(spark):
     assert sorted((r["doc_id"], r["license"]) for r in license_scan.scan(df).collect()) == [(1, "GPL-2.0"), (2, "GPL-2.0"), (2, "GPL-3.0")]
 
 
+def test_band_probability(spark):
+    """Windows of similarity s share a band with probability 1 - (1 - s) ** 16, whatever s."""
+    rng = np.random.default_rng(3)
+    rows, n = [], 1500
+    for same in (1, 2, 4):
+        for k in range(n):
+            x = rng.integers(-(1 << 62), 1 << 62, 16).tolist()
+            rows += [(same, k, x[:8]), (same, k, x[:same] + x[8 : 16 - same])]
+    df = spark.createDataFrame(rows, "same int, k int, w array<bigint>").select("same", "k", *license_scan._items())
+    met = license_scan._keys(df, False).groupBy("same", "k", "key").count().where("count > 1").select("same", "k").distinct()
+    got = {r["same"]: r["count"] / n for r in met.groupBy("same").count().collect()}
+    for same in (1, 2, 4):
+        assert got[same] == pytest.approx(1 - (1 - same / (16 - same)) ** 16, abs=0.04)
+
+
+def test_templates_of_whole_texts(spark):
+    """A template of 2,000 shingles, in a table, is found in texts that hold three quarters of it, among many others."""
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in rng.integers(0, 5000, 2002)]
+    table = spark.createDataFrame([("Long-1.0", " ".join(words)), (None, "no name at all")] + [(f"Other-{i}", " ".join(f"o{x}" for x in rng.integers(0, 5000, 300))) for i in range(200)], "license string, text string")
+    part = lambda share: " ".join("changed" if rng.random() < share else w for w in words)
+    texts = ["intro " * 50 + part(0.0) + " end" * 50, part(0.06), part(0.5), " ".join(words[:1700]), " ".join(words[:900]), "nothing of it"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["license"], r["shingles"]) for r in license_scan.scan(df, table).collect()}
+    assert got.keys() == {0, 1, 3} and {x[0] for x in got.values()} == {"Long-1.0"} and got[0][1] > 1950
+
+
 def test_language_held_out(spark, data, docs):
     from murmura.llm.queries import op2_language
 
