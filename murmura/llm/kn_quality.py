@@ -174,6 +174,26 @@ def blocks(docs: DataFrame) -> DataFrame:
     return save(rows.mapInArrow(run, "block long, ids array<long>, langs array<string>, size long, z binary"), "blocks")
 
 
+def asked_of(texts: list[bytes], shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """A block's distinct 5-grams by shard, ascending in each, and their shards."""
+    asked = np.unique(np.concatenate([np.unique(grams(texts[i : i + 64])[0]) for i in range(0, len(texts), 64)]))
+    of = ((asked >> 8) & 0xFFFF) * 2654435761 % 4294967296 % shards
+    order = np.argsort(of, kind="stable")
+    return asked[order], of[order]
+
+
+def squeeze(keys: np.ndarray) -> bytes:
+    """Ascending 5-grams, byte plane by byte plane: of the upper ones most bytes are as the one before."""
+    planes = keys.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :ORDER].T
+    return pa.Codec("zstd", 1).compress(planes.tobytes(), asbytes=True)
+
+
+def unsqueeze(raw: bytes, count: int) -> np.ndarray:
+    out = np.zeros((count, 8), np.uint8)
+    out[:, :ORDER] = np.frombuffer(pa.Codec("zstd").decompress(raw, count * ORDER, asbytes=True), np.uint8).reshape(ORDER, count).T
+    return out.view("<i8").ravel().astype(np.int64)
+
+
 def _unpack(z: bytes, size: int) -> list[bytes]:
     return pa.Codec("zstd").decompress(z, size, asbytes=True).split(b"\x01")
 
@@ -209,31 +229,30 @@ def perplexity(docs: DataFrame, counts: DataFrame) -> DataFrame:
         make_room("quality")
         for batch in batches:
             for name, size, z in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                texts = _unpack(z, size)
-                asked = np.unique(np.concatenate([np.unique(grams(texts[i : i + 64])[0]) for i in range(0, len(texts), 64)]))
-                of = ((asked >> 8) & 0xFFFF) * 2654435761 % 4294967296 % shards
-                order = np.argsort(of, kind="stable")
-                asked, of = asked[order], of[order]
+                asked, of = asked_of(_unpack(z, size), shards)
                 cut = [*np.flatnonzero(np.diff(of, prepend=-1)).tolist(), len(of)]
-                out = [(int(of[a]), (name + (name >> 32)) % int(box.value[of[a]]), name, asked[a:b].tobytes()) for a, b in zip(cut, cut[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["shard", "copy", "block", "asked"])
+                out = [(int(of[a]), (name + (name >> 32)) % int(box.value[of[a]]), name, b - a, squeeze(asked[a:b])) for a, b in zip(cut, cut[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate([pa.int64()] * 4 + [pa.binary()])], ["shard", "copy", "block", "n", "asked"])
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
         cuts, low = model.value
-        lists = [np.frombuffer(x, np.int64) for x in right["asked"].to_pylist()]
+        lists = [unsqueeze(x, n) for x, n in zip(right["asked"].to_pylist(), right["n"].to_pylist())]
         distinct = np.unique(np.concatenate(lists)) if lists else np.empty(0, np.int64)
         scored = shard_scores(left["gram"].to_numpy(), left["c"].to_numpy(), distinct, cuts, low).astype(np.float32)
         out = [scored[np.searchsorted(distinct, x)].tobytes() for x in lists]
-        return pa.table({"block": right["block"], "asked": right["asked"], "logs": pa.array(out, pa.binary())})
+        return pa.table({"block": right["block"], "shard": right["shard"], "logs": pa.array(out, pa.binary())})
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[list] = [[], [], [], []]
         if left.num_rows:
-            known = [np.concatenate([np.frombuffer(x, t) for x in right[c].to_pylist()] or [np.empty(0, t)]) for c, t in (("asked", np.int64), ("logs", np.float32))]
-            order = np.argsort(known[0])
-            keys, logs = known[0][order], known[1][order].astype(np.float64)
+            # the answers by shard are in the order in which the block asks
+            rows = sorted(zip(right["shard"].to_pylist(), right["logs"].to_pylist()))
+            logs = np.concatenate([np.frombuffer(x, np.float32) for _, x in rows]).astype(np.float64)
             for ids, langs, size, z in zip(*(left[c].to_pylist() for c in ("ids", "langs", "size", "z"))):
                 data = _unpack(z, size)
+                asked, _ = asked_of(data, shards)
+                order = np.argsort(asked)
+                keys, logs = asked[order], logs[order]
                 for i in range(0, len(data), 64):
                     got, sizes = grams(data[i : i + 64])
                     total = np.add.reduceat(logs[np.searchsorted(keys, got)], np.cumsum(sizes) - sizes)
@@ -243,11 +262,11 @@ def perplexity(docs: DataFrame, counts: DataFrame) -> DataFrame:
                 out[1] += langs
         return pa.table({n: pa.array(c, t) for n, c, t in zip(("doc_id", "lang", "n_bytes", "perplexity"), out, (pa.int64(), pa.string(), pa.int64(), pa.float64()))})
 
-    asks = payload.select("block", "size", "z").mapInArrow(ask, "shard long, copy long, block long, asked binary")
+    asks = payload.select("block", "size", "z").mapInArrow(ask, "shard long, copy long, block long, n long, asked binary")
     dealt = spark.createDataFrame([(k, int(n)) for k, n in enumerate(copies) if n > 1], "shard long, copies long")  # at most 65,536 rows
     placed = counts.withColumn("shard", shard).join(F.broadcast(dealt), "shard", "left")
     placed = placed.select("gram", "c", "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("copies", F.lit(1).cast("long")) - 1)).alias("copy"))
-    answers = placed.groupBy("shard", "copy").cogroup(asks.groupBy("shard", "copy")).applyInArrow(answer, "block long, asked binary, logs binary")
+    answers = placed.groupBy("shard", "copy").cogroup(asks.groupBy("shard", "copy")).applyInArrow(answer, "block long, shard long, logs binary")
     return payload.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, "doc_id long, lang string, n_bytes long, perplexity double")
 
 
