@@ -42,52 +42,47 @@ def cycle_columns(t: Column, units: dict[str, str] | None = None) -> dict[str, C
     return out
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once, however often it is referred to."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+def _let(name: str, value: str, body: str) -> str:
+    """SQL for ``body`` with ``name`` standing for a value that is computed once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def _sun(day: Column, rising: bool, rounds: int = 3) -> Column:
-    """Unix seconds of sunrise or sunset of a local date, by the published low-precision solar equations.
+def _n(x: float) -> str:
+    return f"({float(x)!r}D)"
+
+
+def _sun(day: str, rising: bool, rounds: int = 3) -> str:
+    """SQL for the Unix seconds of sunrise or sunset of a local date, by the published low-precision solar equations: one
+    text, as so many operators one by one cost seconds of calls to the JVM.
 
     Solar noon and the hour angle are computed for the event's own instant, in ``rounds`` rounds."""
-    rad, deg = math.radians, 180 / math.pi
-    midnight = F.datediff(day, F.lit("1970-01-01").cast("date")) * 86400.0
-
-    def declination(c: Column, m: Column, omega: Column, mean_long: Column, tilt: Column) -> Column:
-        centre = (F.sin(m) * (1.914602 - c * (0.004817 + c * 0.000014)) + F.sin(2 * m) * (0.019993 - c * 0.000101) + F.sin(3 * m) * 0.000289) * rad(1)
-        return F.asin(F.sin(tilt) * F.sin(mean_long + centre - rad(0.00569) - F.sin(omega) * rad(0.00478)))
-
-    def equation(c: Column, m: Column, mean_long: Column, y: Column) -> Column:
-        e = 0.016708634 - c * (0.000042037 + c * 0.0000001267)
-        return 4 * deg * (y * F.sin(2 * mean_long) - 2 * e * F.sin(m) + 4 * e * y * F.sin(m) * F.cos(2 * mean_long) - 0.5 * y * y * F.sin(4 * mean_long) - 1.25 * e * e * F.sin(2 * m))
-
-    def minutes(dec: Column, eq: Column) -> Column:
-        hour_angle = F.acos(F.lit(math.cos(rad(ZENITH))) / (math.cos(rad(LATITUDE)) * F.cos(dec)) - math.tan(rad(LATITUDE)) * F.tan(dec)) * deg
-        return 720 - 4 * (LONGITUDE + (hour_angle if rising else -hour_angle)) - eq
-
-    def of_century(c: Column) -> Column:
-        mean_long = F.pmod(280.46646 + c * (36000.76983 + c * 0.0003032), F.lit(360.0)) * rad(1)
-        m = (357.52911 + c * (35999.05029 - c * 0.0001537)) * rad(1)
-        omega = (125.04 - c * 1934.136) * rad(1)
-        tilt = (23.0 + (26.0 + (21.448 - c * (46.815 + c * (0.00059 - c * 0.001813))) / 60.0) / 60.0 + F.cos(omega) * 0.00256) * rad(1)
-        known = F.struct(c.alias("c"), mean_long.alias("l"), m.alias("m"), omega.alias("o"), tilt.alias("t"), F.tan(tilt / 2).alias("y"))
-        return _let(known, lambda k: _let(declination(k["c"], k["m"], k["o"], k["l"], k["t"]), lambda d: minutes(d, equation(k["c"], k["m"], k["l"], k["y"] * k["y"]))))
-
-    def again(at: Column, left: int) -> Column:
-        if not left:
-            return at
-        nxt = _let((at / 86400.0 + 2440587.5 - 2451545.0) / 36525.0, of_century)
-        return _let(midnight + nxt * 60, lambda x: again(x, left - 1))
-
-    return again(midnight + (UTC_HOURS + (6 if rising else 18)) * 3600.0, rounds)
-
-
-def sunrise_sunset(day: Column, round_to: int = 60) -> tuple[Column, Column]:
-    """Local times (no zone) of sunrise and sunset of a local date, rounded half up to ``round_to`` seconds."""
-    zero = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    shift = lambda unix: F.make_dt_interval(secs=(F.floor((F.floor(unix) - UTC_HOURS * 3600 + round_to / 2) / round_to) * round_to).cast("decimal(18,6)"))
-    return zero + shift(_sun(day, True)), zero + shift(_sun(day, False))
+    rad, deg = _n(math.radians(1)), _n(180 / math.pi)
+    midnight = f"(datediff({day}, date'1970-01-01') * 86400D)"
+    mean_long = f"(pmod(280.46646D + c * (36000.76983D + c * 0.0003032D), 360D) * {rad})"
+    anomaly = f"((357.52911D + c * (35999.05029D - c * 0.0001537D)) * {rad})"
+    node = f"((125.04D - c * 1934.136D) * {rad})"
+    tilt = f"((23D + (26D + (21.448D - c * (46.815D + c * (0.00059D - c * 0.001813D))) / 60D) / 60D + cos(o) * 0.00256D) * {rad})"
+    centre = f"((sin(m) * (1.914602D - c * (0.004817D + c * 0.000014D)) + sin(2 * m) * (0.019993D - c * 0.000101D) + sin(3 * m) * 0.000289D) * {rad})"
+    declination = f"asin(sin(t) * sin(l + {centre} - {_n(math.radians(0.00569))} - sin(o) * {_n(math.radians(0.00478))}))"
+    equation = f"(4 * {deg} * (y * sin(2 * l) - 2 * e * sin(m) + 4 * e * y * sin(m) * cos(2 * l) - 0.5D * y * y * sin(4 * l) - 1.25D * e * e * sin(2 * m)))"
+    latitude = math.radians(LATITUDE)
+    angle = f"(acos({_n(math.cos(math.radians(ZENITH)))} / ({_n(math.cos(latitude))} * cos(d)) - {_n(math.tan(latitude))} * tan(d)) * {deg})"
+    minutes = f"(720 - 4 * ({_n(LONGITUDE)} {'+' if rising else '-'} {angle}) - {equation})"
+    steps = [("c", "(at / 86400D + 2440587.5D - 2451545D) / 36525D"), ("l", mean_long), ("m", anomaly), ("o", node), ("t", tilt), ("y", "tan(t / 2) * tan(t / 2)"), ("e", "0.016708634D - c * (0.000042037D + c * 0.0000001267D)"), ("d", declination)]
+    event = f"(midnight + {minutes} * 60)"
+    for name, value in reversed(steps):
+        event = _let(name, value, event)
+    at = f"(midnight + {(UTC_HOURS + (6 if rising else 18)) * 3600}D)"
+    for _ in range(rounds):
+        at = _let("at", at, event)
+    return _let("midnight", midnight, at)
+
+
+def sunrise_sunset(day: str, round_to: int = 60) -> tuple[Column, Column]:
+    """Local times (no zone) of sunrise and sunset of the local dates in column ``day``, rounded half up to ``round_to``
+    seconds."""
+    shown = lambda unix: F.expr(f"timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, cast(floor((floor({unix}) - {UTC_HOURS * 3600} + {round_to / 2}D) / {round_to}) * {round_to} as decimal(18,6)))")
+    return shown(_sun(f"`{day}`", True)), shown(_sun(f"`{day}`", False))
 
 
 def hour_minute(t: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 
 from ..functions.scalars import FILTERS, PREEMPHASIS, encode, quoted, seconds_number
 from ..schema import ADMINISTRATIVE
+from .ranges import quantiles
 
 STATISTICS = ("variance", "vars_normed", "stdev", "max", "min", "mean", "median")
 
@@ -34,16 +35,18 @@ def numeric_categories(df: DataFrame, strict: bool = True) -> DataFrame:
 
 def profile(df: DataFrame, columns: Sequence[str], rank_with: Sequence[str] = ()) -> DataFrame:
     """One row a column: variance (n - 1), its rank among all columns as a share of their number (ties share the average
-    rank), standard deviation, max, min, mean and median; by descending variance. ``rank_with`` names columns that count
-    in the ranking but aren't reported. One pass over the data."""
+    rank), standard deviation, max, min, mean and median (exact); by descending variance. ``rank_with`` names columns that
+    count in the ranking but aren't reported."""
     every = [*columns, *(c for c in rank_with if c not in columns)]
-    stats = lambda c: F.struct(F.lit(c).alias("measure"), F.var_samp(quoted(c)).alias("variance"), F.stddev_samp(quoted(c)).alias("stdev"), F.max(quoted(c)).cast("double").alias("max"), F.min(quoted(c)).cast("double").alias("min"), F.avg(quoted(c)).alias("mean"), F.median(quoted(c)).alias("median"))
+    stats = lambda c: F.struct(F.lit(c).alias("measure"), F.var_samp(quoted(c)).alias("variance"), F.stddev_samp(quoted(c)).alias("stdev"), F.max(quoted(c)).cast("double").alias("max"), F.min(quoted(c)).cast("double").alias("min"), F.avg(quoted(c)).alias("mean"))
     rows = df.agg(F.array(*[stats(c) for c in every]).alias("s")).select(F.inline("s"))
     # one row a column from here on
     ties = W.partitionBy("variance")
     rank = (F.rank().over(W.orderBy("variance")) + (F.count("*").over(ties) - 1) / 2) / F.count("*").over(W.partitionBy())
     ranked = rows.withColumn("vars_normed", F.when(F.col("variance").isNotNull(), rank))
-    return ranked.where(F.col("measure").isin(*columns)).select("measure", *STATISTICS)
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("measure"), quoted(c).cast("double").alias("value")) for c in columns])))
+    medians = quantiles(long, ["measure"], "value", [0.5]).select("measure", F.col("value").alias("median"))
+    return ranked.where(F.col("measure").isin(*columns)).join(medians, "measure", "left").select("measure", *STATISTICS)
 
 
 def profile_wide(stats: DataFrame, measures: Sequence[str]) -> DataFrame:

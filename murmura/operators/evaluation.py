@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.scalars import f1, quoted
+from .ranges import running
 
 
 def _labels(spark: SparkSession, labels: Sequence) -> DataFrame:
@@ -69,9 +70,13 @@ def pr_curve(df: DataFrame, truth: Column, score: Column, by: Sequence[str] = ()
     """(by, threshold, tp, fp, precision, recall, f1) at each distinct score, from the highest down. Scores are counted first,
     so that what is summed in order has a row a score."""
     counts = df.select(*map(quoted, by), score.alias("threshold"), truth.cast("int").alias("y")).where("threshold IS NOT NULL AND y IS NOT NULL").groupBy(*map(quoted, by), "threshold").agg(F.sum("y").alias("p"), F.count("*").alias("n"))
-    down = W.partitionBy(*map(quoted, by)).orderBy(F.desc("threshold")).rowsBetween(W.unboundedPreceding, 0)
-    all_of = W.partitionBy(*map(quoted, by))
-    out = counts.select(*map(quoted, by), "threshold", F.sum("p").over(down).alias("tp"), (F.sum("n").over(down) - F.sum("p").over(down)).alias("fp"), F.sum("p").over(all_of).alias("positives"))
+    if by:
+        down = W.partitionBy(*map(quoted, by)).orderBy(F.desc("threshold")).rowsBetween(W.unboundedPreceding, 0)
+        placed = counts.withColumns({"tp": F.sum("p").over(down), "every": F.sum("n").over(down), "positives": F.sum("p").over(W.partitionBy(*map(quoted, by)))})
+    else:
+        ends = counts.agg(F.sum("p").alias("positives"))  # one row
+        placed = running(counts, "threshold", {"tp": "p", "every": "n"}, descending=True).crossJoin(F.broadcast(ends))
+    out = placed.select(*map(quoted, by), "threshold", "tp", (F.col("every") - F.col("tp")).alias("fp"), "positives")
     out = out.withColumn("precision", F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fp"))).withColumn("recall", F.try_divide(F.col("tp").cast("double"), F.col("positives")))
     return out.withColumn("f1", f1(F.col("precision"), F.col("recall"))).drop("positives")
 
@@ -117,8 +122,8 @@ def positional_mean(curve: DataFrame, fold: str) -> DataFrame:
 def roc_auc(df: DataFrame, truth: Column, score: Column) -> DataFrame:
     """(auc) by average ranks."""
     counts = df.select(score.alias("v"), truth.cast("int").alias("y")).where("v IS NOT NULL AND y IS NOT NULL").groupBy("v").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
-    below = F.coalesce(F.sum("n").over(W.orderBy("v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    wins = counts.withColumn("w", F.col("p") * (below + F.col("n") / 2))
+    placed = running(counts, "v", {"upto": "n"})
+    wins = placed.withColumn("w", F.col("p") * (F.col("upto") - F.col("n") / 2))
     return wins.agg(F.try_divide(F.sum("w"), F.sum("p") * F.sum("n")).alias("auc"))
 
 
@@ -227,8 +232,8 @@ def match_detections(truth: DataFrame, predictions: DataFrame, tolerance: float,
 def detection_curve(matched: DataFrame, positives: int) -> DataFrame:
     """(threshold, tp, fp, precision, recall) by distinct confidence; ``positives`` truths were to be found."""
     counts = matched.groupBy(F.col("confidence").alias("threshold")).agg(F.sum("true_positive").alias("p"), F.count("*").alias("n"))
-    down = W.orderBy(F.desc("threshold")).rowsBetween(W.unboundedPreceding, 0)
-    out = counts.select("threshold", F.sum("p").over(down).alias("tp"), (F.sum("n").over(down) - F.sum("p").over(down)).alias("fp"))
+    placed = running(counts, "threshold", {"tp": "p", "every": "n"}, descending=True)
+    out = placed.select("threshold", "tp", (F.col("every") - F.col("tp")).alias("fp"))
     return out.withColumn("precision", F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fp"))).withColumn("recall", F.try_divide(F.col("tp").cast("double"), F.lit(positives)))
 
 

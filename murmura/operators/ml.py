@@ -19,6 +19,7 @@ from pyspark.sql import Window as W
 
 from ..functions.scalars import quoted
 from .evaluation import confusion, mean_report, report
+from .ranges import number_within
 
 #: t-SNE is computed on the driver over at most so many rows.
 TSNE_ROWS = 10_000
@@ -312,9 +313,10 @@ def search_clusters(df: DataFrame, features: Sequence[str], key: str, perplexiti
 
 def folds(df: DataFrame, label: str, key: str, k: int = 5) -> DataFrame:
     """``fold`` by class, in runs of the key's order (stratified, not shuffled)."""
-    w = W.partitionBy(quoted(label))
-    place = F.row_number().over(w.orderBy(quoted(key))) - 1
-    return df.withColumn("fold", F.floor(place * k / F.count("*").over(w)).cast("int"))
+    placed = number_within(df, label, [key], "__place")
+    sizes = df.groupBy(quoted(label).alias("__of")).agg(F.count("*").alias("__n"))
+    whole = placed.join(sizes, quoted(label).eqNullSafe(F.col("__of")))
+    return whole.withColumn("fold", F.floor(F.col("__place") * k / F.col("__n")).cast("int")).drop("__place", "__of", "__n")
 
 
 def smote(df: DataFrame, features: Sequence[str], label: str, key: str, strategy: str = "auto", neighbours: int = 5, seed: int = 1066) -> DataFrame:
@@ -335,7 +337,8 @@ def smote(df: DataFrame, features: Sequence[str], label: str, key: str, strategy
         return base
     spark = df.sparkSession
     plan = spark.createDataFrame([(c, sizes[c], n, max(1, -(-sizes[c] // 2000))) for c, n in grow.items()], f"`{label}` {dict(df.dtypes)[label]}, __n long, __new long, __blocks long")
-    rows = df.join(F.broadcast(plan), label).withColumn("__place", F.row_number().over(W.partitionBy(quoted(label)).orderBy(F.xxhash64(quoted(key), F.lit(seed)), quoted(key), *map(quoted, features))) - 1)
+    dealt = df.where(quoted(label).isNotNull()).withColumn("__dealt", F.xxhash64(quoted(key), F.lit(seed)))
+    rows = number_within(dealt, label, ["__dealt", key, *features], "__place").join(F.broadcast(plan), label)  # a row a class
     rows = rows.withColumn("__block", F.pmod("__place", "__blocks")).withColumn("__make", (F.floor((F.col("__place") + 1) * F.col("__new") / F.col("__n")) - F.floor(F.col("__place") * F.col("__new") / F.col("__n"))).cast("long"))
     names = list(features)
     kind = dict(df.dtypes)[label]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import quoted
+from .ranges import quantiles
 
 
 def errors(joined: DataFrame, measures: Sequence[str], by: Sequence[str] = ("model_id",)) -> DataFrame:
@@ -50,7 +51,8 @@ def ensemble_variance(df: DataFrame, keys: Sequence[str], columns: Sequence[str]
 
 def clip_limits(df: DataFrame, column: str, low: float = 0.0005, high: float = 0.999) -> DataFrame:
     """Exact percentiles by linear interpolation."""
-    return df.agg(F.percentile(quoted(column), low).alias("low"), F.percentile(quoted(column), high).alias("high"))
+    found = quantiles(df, [], column, [low, high])
+    return found.agg(F.max(F.when(F.col("share") == low, F.col("value"))).alias("low"), F.max(F.when(F.col("share") == high, F.col("value"))).alias("high"))
 
 
 def running_mean(df: DataFrame, value: str, weight: str, by: Sequence[str] = ()) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from ..functions.names import species, time_from_name
 from ..functions.scalars import quoted
 from ..functions.times import cycle_columns, sunrise_sunset
-from .ranges import number
+from .ranges import number, number_within
 from .shaping import Condition, condition
 
 #: A lookup table of at most so many rows may be broadcast; Spark chooses for a longer one.
@@ -75,22 +75,27 @@ def augment(df: DataFrame, dimension: DataFrame, file_id: str = "file_id", name:
     """Columns rec_datetime, is_daytime, species, freq_mean and the cycles, from the recording's name."""
     out = lookup(df, dimension, [file_id], needed=name)
     out = out.withColumn("rec_datetime", time_from_name(quoted(name))).withColumn("species", species(quoted(name))).withColumn("freq_mean", (quoted(low) + quoted(high)) / 2)
-    out = _with_sun(out, F.col("rec_datetime"))
-    return out.withColumn("is_daytime", F.col("rec_datetime").between(F.col("__rise"), F.col("__fall"))).withColumns(cycle_columns(F.col("rec_datetime"))).drop("__rise", "__fall", name)
+    out = _with_sun(out, "rec_datetime")
+    return out.withColumn("is_daytime", F.when(F.col("rec_datetime").isNotNull(), _daytime("rec_datetime"))).withColumns(cycle_columns(F.col("rec_datetime"))).drop("__rise", "__fall", name)
 
 
-def _with_sun(df: DataFrame, at: Column) -> DataFrame:
-    """Columns __rise and __fall, computed once a day and joined back."""
-    days = df.select(F.to_date(at).alias("__day")).distinct()
-    rise, fall = sunrise_sunset(F.col("__day"))
-    days = days.select("__day", rise.alias("__rise"), fall.alias("__fall"))
-    return df.withColumn("__day", F.to_date(at)).join(_small(days), "__day", "left").drop("__day")
+def _with_sun(df: DataFrame, at: str) -> DataFrame:
+    """Columns __rise and __fall of the column ``at``'s day, computed once a day and joined back. A null check on them would
+    be pushed below the distinct days and so solve the equations for each row: compare them with ``_daytime``."""
+    dated = df.withColumn("__day", F.to_date(at))
+    days = dated.select("__day").distinct()
+    rise, fall = sunrise_sunset("__day")
+    return dated.join(_small(days.select("__day", rise.alias("__rise"), fall.alias("__fall"))), "__day", "left").drop("__day")
+
+
+def _daytime(at: str) -> Column:
+    return F.coalesce(F.col(at).between(F.col("__rise"), F.col("__fall")), F.lit(False))
 
 
 def daytime_only(df: DataFrame, name: str = "Filename") -> DataFrame:
     """Rows recorded between sunrise and sunset, both included."""
-    at = time_from_name(quoted(name))
-    return _with_sun(df, at).where(at.between(F.col("__rise"), F.col("__fall"))).drop("__rise", "__fall")
+    timed = df.withColumn("__at", time_from_name(quoted(name)))
+    return _with_sun(timed, "__at").where(_daytime("__at")).drop("__rise", "__fall", "__at")
 
 
 def allocate(sizes: Mapping[object, int], needed: int, taken: int = 0) -> dict[object, int]:
@@ -118,9 +123,9 @@ def stratified_sample(df: DataFrame, by: str, n: int, seed: int, key: Sequence[s
     takes = df.sparkSession.createDataFrame([*allocate(sizes, n).items()], f"`{by}` {dict(df.dtypes)[by]}, __take long") if sizes else None
     if takes is None:
         return df
-    dealt = F.xxhash64(*map(quoted, key), F.lit(seed))
-    ranked = df.join(F.broadcast(takes), by).withColumn("__r", F.row_number().over(W.partitionBy(quoted(by)).orderBy(dealt, *map(quoted, key))))
-    chosen = ranked.where(F.col("__r") <= F.col("__take")).drop("__r", "__take")
+    dealt = df.withColumn("__dealt", F.xxhash64(*map(quoted, key), F.lit(seed)))
+    ranked = number_within(dealt, by, ["__dealt", *key], "__r").join(_small(takes.withColumnRenamed(by, "__of")), quoted(by).eqNullSafe(F.col("__of")))
+    chosen = ranked.where(F.col("__r") < F.col("__take")).drop("__r", "__take", "__of", "__dealt")
     return chosen.orderBy(F.xxhash64(*map(quoted, key), F.lit(seed + 1)), *map(quoted, key)).limit(n)
 
 
@@ -151,9 +156,9 @@ def cull_thresholds(df: DataFrame, threshold: str, cut: float = 0.1, least: int
 
 
 def in_rounds(df: DataFrame, order: str, n: int, name: str = "batch") -> DataFrame:
-    """Deal rows to n batches in turn, numbered from 1."""
-    return df.withColumn(name, F.pmod(F.row_number().over(W.orderBy(quoted(order))) - 1, F.lit(n)) + 1)
+    """Deal rows, in an order without ties, to n batches in turn, numbered from 1."""
+    return number(df, [order], name).withColumn(name, (F.pmod(quoted(name), F.lit(n)) + 1).cast("int"))
 
 
 def in_groups_of(df: DataFrame, order: str, size: int, name: str = "group") -> DataFrame:
-    return df.withColumn(name, F.floor((F.row_number().over(W.orderBy(quoted(order))) - 1) / size).cast("int"))
+    return number(df, [order], name).withColumn(name, F.floor(quoted(name) / size).cast("int"))

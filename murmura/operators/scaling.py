@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import quoted
+from .ranges import quantiles
 
 
 def fit_standard(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -43,5 +44,7 @@ def min_max(df: DataFrame, columns: Sequence[str], low: float = 0.0, high: float
 
 def median_scale(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, mean, scale): the mean, and the absolute median distance from it."""
-    rows = df.agg(F.array(*[F.struct(F.lit(c).alias("column"), F.avg(quoted(c)).alias("mean"), F.median(quoted(c)).alias("median")) for c in columns]).alias("s")).select(F.inline("s"))
-    return rows.select("column", "mean", F.abs(F.col("median") - F.col("mean")).alias("scale"))
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), quoted(c).cast("double").alias("value")) for c in columns])))
+    medians = quantiles(long, ["column"], "value", [0.5]).select("column", F.col("value").alias("median"))
+    means = df.agg(F.array(*[F.struct(F.lit(c).alias("column"), F.avg(quoted(c)).alias("mean")) for c in columns]).alias("s")).select(F.inline("s"))
+    return means.join(medians, "column", "left").select("column", "mean", F.abs(F.col("median") - F.col("mean")).alias("scale"))

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 
 from ..functions.distributions import f_upper, t_two_sided
 from ..functions.scalars import quoted
+from .ranges import quantiles, running
 
 
 def pearson(x: Column, y: Column) -> Column:
@@ -84,8 +85,10 @@ def similarities_within(df: DataFrame, group: Sequence[str], key: str, columns:
 
 def summary(df: DataFrame, column: str) -> DataFrame:
     """count, mean, median, std, var, min, quartiles, max, skew and excess kurtosis (population) of a column."""
-    c = quoted(column)
-    return df.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.median(c).alias("median"), F.stddev_samp(c).alias("std"), F.var_samp(c).alias("var"), F.min(c).alias("min"), F.percentile(c, 0.25).alias("q1"), F.percentile(c, 0.75).alias("q3"), F.max(c).alias("max"), F.skewness(c).alias("skew"), F.kurtosis(c).alias("kurtosis"))
+    c, names = quoted(column), {0.25: "q1", 0.5: "median", 0.75: "q3"}
+    found = df.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.var_samp(c).alias("var"), F.min(c).alias("min"), F.max(c).alias("max"), F.skewness(c).alias("skew"), F.kurtosis(c).alias("kurtosis"))
+    quarters = quantiles(df, [], column, [*names]).agg(*[F.max(F.when(F.col("share") == s, F.col("value"))).alias(n) for s, n in names.items()])
+    return found.crossJoin(F.broadcast(quarters)).select("n", "mean", "median", "std", "var", "min", "q1", "q3", "max", "skew", "kurtosis")  # one row each
 
 
 def _moments(df: DataFrame, column: str, first: Column) -> list:
@@ -113,17 +116,17 @@ def _values(df: DataFrame, column: str, first: Column) -> DataFrame:
 
 def cliffs_delta(df: DataFrame, column: str, first: Column) -> DataFrame:
     """(n1, n2, u, delta): Mann-Whitney's U and (wins - losses) / (n1 n2), from average ranks of distinct values."""
-    w = W.orderBy("v").rowsBetween(W.unboundedPreceding, -1)
-    below = F.coalesce(F.sum("b").over(w), F.lit(0))
-    u = _values(df, column, first).withColumn("below", below).agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"), F.sum(F.col("a") * (F.col("below") + F.col("b") / 2)).alias("u"))
+    placed = running(_values(df, column, first), "v", {"upto": "b"})
+    u = placed.agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"), F.sum(F.col("a") * (F.col("upto") - F.col("b") / 2)).alias("u"))
     return u.select("n1", "n2", "u", (2 * F.try_divide(F.col("u"), F.col("n1") * F.col("n2")) - 1).alias("delta"))
 
 
 def kolmogorov_smirnov(df: DataFrame, column: str, first: Column) -> DataFrame:
     """(d): the greatest difference of the two samples' distribution functions."""
-    up, every = W.orderBy("v").rowsBetween(W.unboundedPreceding, 0), W.partitionBy()
-    share = lambda c: F.try_divide(F.sum(c).over(up), F.sum(c).over(every))
-    return _values(df, column, first).select(F.abs(share("a") - share("b")).alias("gap")).agg(F.max("gap").alias("d"))
+    values = _values(df, column, first)
+    ends = values.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))  # one row
+    placed = running(values, "v", {"ua": "a", "ub": "b"}).crossJoin(F.broadcast(ends))
+    return placed.select(F.abs(F.try_divide("ua", "na") - F.try_divide("ub", "nb")).alias("gap")).agg(F.max("gap").alias("d"))
 
 
 def anova(df: DataFrame, column: str, group: str) -> dict[str, float | None]:

@@ -80,7 +80,7 @@ def _solar_sql() -> str:
 @query(_solar_sql() + " SELECT strftime(day, '%Y-%m-%d') AS day, rise::BIGINT AS rise, fall::BIGINT AS fall FROM sun")
 def sun_times(t):
     days = t.events.select(F.to_date("ts").alias("day")).distinct()
-    rise, fall = times.sunrise_sunset(F.col("day"))
+    rise, fall = times.sunrise_sunset("day")
     unix = lambda c: F.expr(f"timestampdiff(SECOND, {_EPOCH}, {c})")
     return days.select(F.date_format("day", "yyyy-MM-dd").alias("day"), rise.alias("r"), fall.alias("f")).select("day", unix("r").alias("rise"), unix("f").alias("fall"))
 

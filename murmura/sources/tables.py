@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import timestamp_in_name
+from ..operators.relational import _small
 from ..functions.scalars import none_for_nan, quoted
 from .feather import register
 
@@ -112,7 +113,7 @@ def batch_report(df: DataFrame, species: DataFrame, file: str, accepted: str, be
     code = F.when((quoted(accepted) == "x") & F.lit(use_best), quoted(best)).otherwise(quoted(accepted))
     prob = F.when(quoted(probability).cast("string") == "x", 0.0).otherwise(quoted(probability).cast("string").try_cast("double"))
     rows = df.select(quoted(file).alias("file"), code.alias("code"), prob.alias("class_prob"))
-    return rows.join(F.broadcast(species.limit(100_000)), "code", "left").drop("code")
+    return rows.join(_small(species), "code", "left").drop("code")
 
 
 def measures_to_annotations(df: DataFrame, features: Sequence[str]) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from murmura.functions import distributions, names, scalars, times
-from murmura.operators import cleaning, evaluation, ml, performance, relational, reshape, scaling, sequences, shaping, statistics, windows
+from murmura.operators import cleaning, evaluation, ml, performance, ranges, relational, reshape, scaling, sequences, shaping, statistics, windows
 
 
 def one(df):
@@ -34,8 +34,45 @@ def test_species(spark, name, expected):
 
 
 def test_sun(spark):
-    rise, fall = times.sunrise_sunset(F.lit("2022-02-05").cast("date"))
-    assert (col(spark, rise), col(spark, fall)) == (datetime(2022, 2, 5, 8, 9), datetime(2022, 2, 5, 18, 38))
+    rise, fall = times.sunrise_sunset("day")
+    got = spark.sql("SELECT DATE'2022-02-05' AS day").select(rise.alias("rise"), fall.alias("fall")).first()
+    assert (got["rise"], got["fall"]) == (datetime(2022, 2, 5, 8, 9), datetime(2022, 2, 5, 18, 38))
+
+
+def test_the_sun_is_computed_once_a_day(spark):
+    names_of = spark.range(3).selectExpr("concat('barn1_D2022020', id + 1, 'T192049m784.wav') AS Filename")
+    for df in (relational.daytime_only(names_of), relational.augment(names_of.selectExpr("1L AS file_id", "1.0 AS LowFreq", "1.0 AS HiFreq"), names_of.selectExpr("1L AS file_id", "Filename")).select("is_daytime")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        solar = [line for line in plan.split("\n") if "acos" in line.lower()]
+        assert len(solar) == 1 and "Aggregate [__day" in solar[0]
+
+
+def test_no_single_partition_over_rows(spark):
+    """Running sums, numbers and deals over a whole table go through ranges."""
+    df = spark.range(1000).selectExpr("id", "id % 7 AS v", "id % 2 = 0 AS y", "cast(id % 3 AS double) AS g", "cast(hash(id) AS double) AS s")
+    y, score = F.col("y"), F.col("s")
+    curve = evaluation.pr_curve(df, y, score)
+    made = [curve, evaluation.roc_auc(df, y, score), statistics.cliffs_delta(df, "s", y), statistics.kolmogorov_smirnov(df, "s", y), relational.in_rounds(df, "id", 4), relational.in_groups_of(df, "id", 4), relational.with_row_numbers(df, ["v", "id"]), evaluation.detection_curve(df.selectExpr("s AS confidence", "cast(y AS int) AS true_positive"), 500)]
+    for out in made:
+        out.collect()
+        for window in [x for x in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Window [" in x]:
+            parts = window[window.index("windowspecdefinition(") :]
+            assert "__range" in parts, window  # over ranges' totals, or within a range
+    # a frequent first value is cut by the other columns
+    got = relational.with_row_numbers(df, ["g", "id"]).orderBy("g", "id").collect()
+    assert [r["row_num"] for r in got] == list(range(1000))
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 101, 12_000, 30_011])
+def test_quantiles_are_exact(spark, n):
+    shares = [0.0, 0.0005, 0.25, 0.5, 0.9995, 1.0]
+    df = spark.range(n).selectExpr("cast(hash(id) % 5000 AS double) + (id % 3) AS v", "nullif(id % 2, 1) AS g")
+    df = df.withColumn("v", F.when(F.col("v") % 11 != 0, F.col("v")))
+    for by in ([], ["g"]):
+        got = {(r["g"] if by else None, r["share"]): r["value"] for r in ranges.quantiles(df, by, "v", shares).collect()}
+        expected = {(r["g"] if by else None, s): p for r in df.groupBy(*by).agg(F.percentile("v", F.array(*map(F.lit, shares))).alias("p")).collect() for s, p in zip(shares, r["p"] or [])}
+        assert got.keys() == expected.keys()
+        assert all(got[k] == pytest.approx(expected[k], rel=1e-12) for k in got)
 
 
 def test_daytime_and_augment(spark):
