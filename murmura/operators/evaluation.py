@@ -38,6 +38,13 @@ def confusion(df: DataFrame, truth: str, predicted: str, labels: Sequence, norma
     return full.withColumn("n", F.try_divide(F.col("n").cast("double"), F.sum("n").over(over)))
 
 
+def confusion_with_background(df: DataFrame, truth: str, predicted: str, labels: Sequence[str], background: str = "background", normalise: str | None = None) -> DataFrame:
+    """Of a detector: null truths (detections of nothing) are the background row, null predictions (what was missed) its
+    column."""
+    named = df.withColumn("__t", F.coalesce(quoted(truth), F.lit(background))).withColumn("__p", F.coalesce(quoted(predicted), F.lit(background)))
+    return confusion(named, "__t", "__p", [*labels, background], normalise)
+
+
 def row_normalise(matrix: DataFrame, row: str, value: str) -> DataFrame:
     """Cells as shares of their row; null in empty rows."""
     return matrix.withColumn(value, F.try_divide(quoted(value).cast("double"), F.sum(quoted(value)).over(W.partitionBy(quoted(row)))))

@@ -286,6 +286,17 @@ class ClusterSearch:
         return json.dumps({"perplexity": self.perplexity, "n_clusters": self.k, "silhouette": self.best, "table": [r.asDict() for r in self.silhouettes.collect()], **self.extra}, sort_keys=True)
 
 
+def read_search(spark: SparkSession, text: str) -> ClusterSearch:
+    """A search back from ``to_json``; its clustered rows aren't in there."""
+    import json
+
+    found = json.loads(text)
+    table = [(r["perplexity"], r["n_clusters"], r["silhouette"]) for r in found.pop("table")]
+    kept = [found.pop(n) for n in ("perplexity", "n_clusters", "silhouette")]
+    schema = "perplexity double, n_clusters int, silhouette double"
+    return ClusterSearch(spark.createDataFrame(table, schema), *kept, spark.createDataFrame([], "cluster int"), found)
+
+
 def search_clusters(df: DataFrame, features: Sequence[str], key: str, perplexities: Sequence[float], ks: Sequence[int], rows: int = 500, keep: Sequence[str] = ()) -> ClusterSearch:
     """t-SNE at each perplexity below the number of rows, k-means at each k, best silhouette (the first of equals). Kept
     columns that aren't there are left out."""

@@ -103,3 +103,8 @@ def to_documents(df: DataFrame, file: str = "file") -> DataFrame:
     fields = ["class", "start_time", "end_time", "low_freq", "high_freq", "class_prob", "det_prob", "individual", "event"]
     one = F.struct(F.col("start_time"), F.struct(*[F.col(f"`{f}`") for f in fields]).alias("a"))
     return df.groupBy(quoted(file).alias("id")).agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["a"]).alias("annotation"))
+
+
+def split_statistics(df: DataFrame, split: str, file: str, label: str) -> DataFrame:
+    """(split, files, rows, labels) of each part of a data set."""
+    return df.groupBy(quoted(split)).agg(F.count_distinct(quoted(file)).alias("files"), F.count("*").alias("rows"), F.count_distinct(quoted(label)).alias("labels"))

@@ -38,6 +38,11 @@ def squared_errors(joined: DataFrame, keys: Sequence[str], measures: Sequence[st
     return joined.select(*map(quoted, keys), *[((quoted(f"{m}_pred") - quoted(f"{m}_truth")) * (quoted(f"{m}_pred") - quoted(f"{m}_truth"))).alias(m) for m in measures])
 
 
+def mean_errors(squared: DataFrame, index: str, measures: Sequence[str]) -> DataFrame:
+    """(index, n, measures): mean squared errors by the call's place, and how many calls stand behind them."""
+    return squared.groupBy(quoted(index)).agg(F.count("*").alias("n"), *[F.avg(quoted(m)).alias(m) for m in measures])
+
+
 def clean_predictions(df: DataFrame) -> DataFrame:
     """chirp_idx is the context's size; keys as integers; no TimeIndex."""
     return df.drop("TimeIndex").withColumn("cntxt_sz", F.col("cntxt_sz").cast("bigint")).withColumn("chirp_idx", F.col("cntxt_sz")).withColumn("file_id", F.col("file_id").cast("bigint"))

@@ -116,3 +116,12 @@ def detections_per_second(df: DataFrame, duration: str, score: str, x: str, file
 def inside_borders(df: DataFrame, start: str, duration: str, margin: float) -> DataFrame:
     """Detections that start at least ``margin`` from both ends of their file (both limits included)."""
     return df.where(quoted(start).between(F.lit(margin), quoted(duration) - margin))
+
+
+def thin_labels(df: DataFrame, label: str, order: str, wanted: int) -> DataFrame:
+    """Labels of an axis with all but about ``wanted`` blank: of n labels every (n // wanted)-th stays, the first doesn't."""
+    from .ranges import number
+
+    step = max(1, df.count() // wanted)
+    at = F.col("__at")
+    return number(df, [order], "__at").withColumn(label, F.when((at >= step) & (at % step == 0), quoted(label)).otherwise("")).drop("__at")

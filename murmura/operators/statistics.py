@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.distributions import f_upper, t_two_sided
+from ..functions.distributions import f_upper, kolmogorov_upper, normal_quantile, normal_upper, studentized_range_upper, t_two_sided
 from ..functions.scalars import quoted
 from .ranges import quantiles, running
 
@@ -108,6 +108,103 @@ def welch(df: DataFrame, column: str, first: Column) -> dict[str, float | None]:
     return {"t": t, "df": free, "p": t_two_sided(t, free), "cohens_d": (m1 - m2) / math.sqrt((v1 + v2) / 2)}
 
 
+def pooled_t(df: DataFrame, column: str, first: Column) -> dict[str, float | None]:
+    """Student's t with one variance for both samples: t, degrees of freedom, two-sided p."""
+    (n1, m1, v1), (n2, m2, v2) = _moments(df, column, first)
+    if n1 + n2 < 3 or not n1 or not n2:
+        return {"t": None, "df": None, "p": None}
+    free = n1 + n2 - 2
+    pooled = ((n1 - 1) * (v1 or 0.0) + (n2 - 1) * (v2 or 0.0)) / free
+    if not pooled:
+        return {"t": None, "df": free, "p": None}
+    t = (m1 - m2) / math.sqrt(pooled * (1 / n1 + 1 / n2))
+    return {"t": t, "df": free, "p": t_two_sided(t, free)}
+
+
+def tukey(df: DataFrame, column: str, group: str) -> DataFrame:
+    """(a, b, difference, q, p_value) of all pairs of groups' means (a before b): Tukey's honest significant difference, for
+    unequal sizes by Kramer. One aggregation; a row a group reaches the driver."""
+    kind = dict(df.dtypes)[group]
+    rows = sorted((r[0], r["n"], r["m"], r["v"] or 0.0) for r in df.where(quoted(group).isNotNull()).groupBy(quoted(group)).agg(F.count(quoted(column)).alias("n"), F.avg(quoted(column)).alias("m"), F.var_samp(quoted(column)).alias("v")).where("n > 0").collect())
+    free = sum(n for _, n, _, _ in rows) - len(rows)
+    within = sum((n - 1) * v for _, n, _, v in rows) / free if free > 0 else 0.0
+    out = []
+    for (a, n1, m1, _), (b, n2, m2, _) in combinations(rows, 2):
+        q = abs(m2 - m1) / math.sqrt(within / 2 * (1 / n1 + 1 / n2)) if within else None
+        out.append((a, b, m2 - m1, q, None if q is None else studentized_range_upper(q, len(rows), free)))
+    return df.sparkSession.createDataFrame(out, f"a {kind}, b {kind}, difference double, q double, p_value double")
+
+
+def mann_whitney(df: DataFrame, column: str, first: Column) -> dict[str, float | None]:
+    """U of the first sample and its two-sided p by the normal approximation, with corrections for ties and continuity."""
+    u = cliffs_delta(df, column, first).first()
+    ties = _values(df, column, first).agg(F.sum((F.col("a") + F.col("b")).cast("double") ** 3 - (F.col("a") + F.col("b"))).alias("t")).first()["t"]
+    n1, n2 = u["n1"] or 0, u["n2"] or 0
+    n = n1 + n2
+    if not n1 or not n2:
+        return {"u": None, "z": None, "p": None}
+    spread = n1 * n2 / 12 * (n + 1 - ties / (n * (n - 1)))
+    if spread <= 0:
+        return {"u": float(u["u"]), "z": 0.0, "p": 1.0}
+    z = max(0.0, abs(float(u["u"]) - n1 * n2 / 2) - 0.5) / math.sqrt(spread)
+    return {"u": float(u["u"]), "z": z, "p": min(1.0, 2 * normal_upper(z))}
+
+
+def kolmogorov_smirnov_p(df: DataFrame, column: str, first: Column) -> dict[str, float | None]:
+    """The two-sample statistic d and its p by the limiting distribution."""
+    d = kolmogorov_smirnov(df, column, first).first()["d"]
+    sizes = _values(df, column, first).agg(F.sum("a").alias("a"), F.sum("b").alias("b")).first()
+    if d is None:
+        return {"d": None, "p": None}
+    return {"d": float(d), "p": kolmogorov_upper(float(d) * math.sqrt(sizes["a"] * sizes["b"] / (sizes["a"] + sizes["b"])))}
+
+
+#: The Shapiro-Wilk test is defined for at most so many values.
+SHAPIRO_VALUES = 5000
+
+
+def shapiro(df: DataFrame, column: str) -> dict[str, float]:
+    """Shapiro-Wilk's W and p by Royston's published approximation, over 3 to SHAPIRO_VALUES values (more are a ValueError, as
+    for the test itself: take a sample)."""
+    values = [r[0] for r in df.where(quoted(column).isNotNull()).select(quoted(column).cast("double")).limit(SHAPIRO_VALUES + 1).collect()]
+    n = len(values)
+    if not 3 <= n <= SHAPIRO_VALUES:
+        raise ValueError(f"3 to {SHAPIRO_VALUES} values")
+    x = sorted(values)
+    mean = sum(x) / n
+    spread = sum((v - mean) ** 2 for v in x)
+    if not spread:
+        return {"w": 1.0, "p": 1.0}
+    m = [normal_quantile((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)]
+    square, u = sum(v * v for v in m), 1 / math.sqrt(n)
+    poly = lambda c, v: sum(k * v**i for i, k in enumerate(c))
+    # fixed values: the approximation's coefficients
+    last = poly((m[-1] / math.sqrt(square), 0.221157, -0.147981, -2.071190, 4.434685, -2.706056), u)
+    if n == 3:
+        weights = [-math.sqrt(0.5), 0.0, math.sqrt(0.5)]
+    elif n <= 5:
+        rest = math.sqrt((square - 2 * m[-1] ** 2) / (1 - 2 * last**2))
+        weights = [-last, *(v / rest for v in m[1:-1]), last]
+    else:
+        second = poly((m[-2] / math.sqrt(square), 0.042981, -0.293762, -1.752461, 5.682633, -3.582633), u)
+        rest = math.sqrt((square - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last**2 - 2 * second**2))
+        weights = [-last, -second, *(v / rest for v in m[2:-2]), second, last]
+    w = min(1.0, sum(a * v for a, v in zip(weights, x)) ** 2 / spread)
+    if n == 3:
+        return {"w": w, "p": min(1.0, max(0.0, 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75)))))}
+    if w == 1:
+        return {"w": w, "p": 1.0}
+    if n <= 11:
+        gamma = poly((-2.273, 0.459), n)
+        if math.log(1 - w) >= gamma:
+            return {"w": w, "p": 0.0}
+        y, mu, sigma = -math.log(gamma - math.log(1 - w)), poly((0.5440, -0.39978, 0.025054, -0.0006714), n), math.exp(poly((1.3822, -0.77857, 0.062767, -0.0020322), n))
+    else:
+        k = math.log(n)
+        y, mu, sigma = math.log(1 - w), poly((-1.5861, -0.31082, -0.083751, 0.0038915), k), math.exp(poly((-0.4803, -0.082676, 0.0030302), k))
+    return {"w": w, "p": normal_upper((y - mu) / sigma)}
+
+
 def _values(df: DataFrame, column: str, first: Column) -> DataFrame:
     """(v, a, b): distinct values with their counts in both samples."""
     rows = df.where(quoted(column).isNotNull() & first.isNotNull())

@@ -28,6 +28,17 @@ class SpectrogramSettings:
     max_scale: bool = False
 
 
+def encode(rate: int, samples: np.ndarray) -> bytes:
+    """A mono wav file of 16 bits from samples in [-1, 1]; what is beyond is clipped."""
+    out = io.BytesIO()
+    with wave.open(out, "wb") as f:
+        f.setnchannels(1)
+        f.setsampwidth(2)
+        f.setframerate(rate)
+        f.writeframes(np.round(np.clip(samples, -1, 1) * 32767).astype("<i2").tobytes())
+    return out.getvalue()
+
+
 def decode(raw: bytes, time_expansion: float = 1, target_rate: int | None = None, longest: float | None = None, scale: bool = False) -> tuple[int, np.ndarray]:
     """(rate, samples in [-1, 1]) of a mono wav file; stereo is a ValueError. Resampled by linear interpolation."""
     with wave.open(io.BytesIO(raw)) as f:

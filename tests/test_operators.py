@@ -75,6 +75,44 @@ def test_quantiles_are_exact(spark, n):
         assert all(got[k] == pytest.approx(expected[k], rel=1e-12) for k in got)
 
 
+def test_tails_and_tests(spark):
+    """Published critical values and examples."""
+    assert distributions.studentized_range_upper(3.877, 3, 10) == pytest.approx(0.05, abs=5e-4)
+    assert distributions.studentized_range_upper(3.633, 4, 1e9) == pytest.approx(0.05, abs=5e-4)
+    assert distributions.kolmogorov_upper(1.3581) == pytest.approx(0.05, abs=1e-4)
+    assert distributions.normal_quantile(0.975) == pytest.approx(1.959964, abs=1e-5)
+    men = spark.createDataFrame([(float(x),) for x in (148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236)], "x double")
+    found = statistics.shapiro(men, "x")
+    assert found["w"] == pytest.approx(0.79, abs=0.005) and found["p"] == pytest.approx(0.0067, abs=0.0006)
+    with pytest.raises(ValueError):
+        statistics.shapiro(men.limit(2), "x")
+    two = spark.createDataFrame([(float(x), True) for x in (1, 2, 3, 4, 5)] + [(float(x), False) for x in (4, 6, 7, 8, 9, 10)], "x double, g boolean")
+    u = statistics.mann_whitney(two, "x", F.col("g"))
+    # u = 1.5 of 15 on average; spread: 30 / 12 * (12 - 6 / 110)
+    assert u["u"] == 1.5 and u["z"] == pytest.approx(13 / math.sqrt(2.5 * (12 - 6 / 110))) and u["p"] == pytest.approx(0.0173, abs=1e-3)
+    k = statistics.kolmogorov_smirnov_p(two, "x", F.col("g"))
+    assert k["d"] == pytest.approx(5 / 6) and k["p"] == pytest.approx(distributions.kolmogorov_upper(5 / 6 * math.sqrt(30 / 11)))
+    pairs = statistics.tukey(two.withColumn("k", F.when(F.col("x") > 8, "c").when(F.col("g"), "a").otherwise("b")), "x", "k").orderBy("a", "b").collect()
+    assert [(r["a"], r["b"]) for r in pairs] == [("a", "b"), ("a", "c"), ("b", "c")] and all(0 <= r["p_value"] <= 1 for r in pairs) and pairs[1]["p_value"] < pairs[2]["p_value"]
+    t = statistics.pooled_t(two, "x", F.col("g"))
+    assert t["df"] == 9 and t["p"] == pytest.approx(distributions.t_two_sided(t["t"], 9))
+
+
+def test_search_back_from_json(spark):
+    table = spark.createDataFrame([(5.0, 2, 0.5), (5.0, 3, 0.25)], "perplexity double, n_clusters int, silhouette double")
+    search = ml.ClusterSearch(table, 5.0, 2, 0.5, table, {"note": "x"})
+    assert ml.read_search(spark, search.to_json()).to_json() == search.to_json()
+
+
+def test_samples_in_strata(spark):
+    df = spark.range(3000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 'a' WHEN id % 30 = 1 THEN null ELSE 'b' END AS s")
+    got = relational.stratified_sample(df, "s", 300, 5, ["id"])
+    counts = {r["s"]: r["count"] for r in got.groupBy("s").count().collect()}
+    assert sum(counts.values()) == 300 and 98 <= counts["a"] <= 102 and got.select("id").distinct().count() == 300
+    folds = ml.folds(df.where("s IS NOT NULL"), "s", "id", 4).groupBy("s", "fold").count().collect()
+    assert {r["count"] for r in folds if r["s"] == "a"} == {250} and len(folds) == 8
+
+
 def test_daytime_and_augment(spark):
     df = spark.createDataFrame([(1, 20.0, 40.0), (2, 10.0, 30.0)], "file_id long, LowFreq double, HiFreq double")
     files = spark.createDataFrame([(1, "barn1_D20220205T140541m784-Myca.wav"), (2, "barn1_D20220205T192049m784-HiF.wav")], "file_id long, Filename string")

@@ -104,3 +104,13 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("activity").select(F.sum("n")).first()[0] == 2
+
+
+def test_wav_there_and_back():
+    import numpy as np
+
+    from murmura.sources import audio
+
+    x = np.sin(np.linspace(0, 50, 1000)) * 1.2
+    rate, back = audio.decode(audio.encode(8000, x))
+    assert rate == 8000 and np.abs(back - np.clip(x, -1, 1)).max() < 1e-4
