@@ -8,6 +8,7 @@ kernel), then times the weights.
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -105,16 +106,32 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def lowest_ids(ids: DataFrame, sizes: dict[str, int], per_language: int) -> set[int]:
+    """The doc_ids of each language's ``per_language`` rows whose ids hash lowest, of rows (doc_id, lang); ``sizes`` counts the
+    rows of the languages asked for. About four times as many rows hash below a language's limit, so no task puts more in
+    order, whatever the table's size; only where ids repeat so much that too few do, all rows are."""
+    some = ids.where(F.col("lang").isin([*sizes])).withColumn("h", F.xxhash64("doc_id"))
+    share = {x: min(1.0, (4 * per_language + 100) / n) for x, n in sizes.items()}
+    limits = F.create_map(*[F.lit(y) for x, part in share.items() for y in (x, int(part * 2**64) - 2**63 - 1)])
+    place = F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))
+    for rows in (some.where(F.col("h") <= F.try_element_at(limits, F.col("lang"))), some):
+        taken = rows.withColumn("r", place).where(F.col("r") <= per_language).select("lang", "doc_id").collect()
+        found = Counter(r["lang"] for r in taken)
+        if all(found[x] >= min(per_language, n) for x, n in sizes.items()):
+            break
+    return {r["doc_id"] for r in taken}
+
+
 def learn(docs: DataFrame, per_language: int = 300, max_languages: int = 64, landmarks: int = 96) -> KernelRidge | None:
     """Fit on a bounded sample: of each language the ``per_language`` rows whose ids hash lowest, of the ``max_languages``
     commonest languages; held-out documents, null languages and texts without a letter are left out. The sample is chosen by
     ids alone (of rows that repeat one, by their bits), its texts are turned into bits where they are, and its order, by
     which the landmarks are taken, is that of the hashes. None if there is nothing to learn from."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    ids = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    common = [r["lang"] for r in ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
-    ranked = ids.where(F.col("lang").isin(common)).withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id")))
-    chosen = [r["doc_id"] for r in ranked.where(F.col("r") <= per_language).select("doc_id").distinct().collect()]
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
+    if not sizes:
+        return None
+    chosen = sorted(lowest_ids(known.select("doc_id", "lang"), sizes, per_language))
 
     small_batches(docs.sparkSession)
 
@@ -124,9 +141,7 @@ def learn(docs: DataFrame, per_language: int = 300, max_languages: int = 64, lan
                 got = [(doc, lang, np.packbits(bits).tobytes()) for doc, lang, text in zip(*(part.column(i).to_pylist() for i in range(3))) if (bits := presence(text)) is not None]
                 yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], t) for i, t in enumerate((pa.int64(), pa.string(), pa.binary()))], ["doc_id", "lang", "bits"])
 
-    if not chosen:
-        return None
-    rows = known.where(F.col("doc_id").isin(chosen) & F.col("lang").isin(common)).mapInArrow(run, "doc_id long, lang string, bits binary").withColumn("h", F.xxhash64("doc_id"))
+    rows = known.where(F.col("doc_id").isin(chosen) & F.col("lang").isin([*sizes])).mapInArrow(run, "doc_id long, lang string, bits binary").withColumn("h", F.xxhash64("doc_id"))
     place = F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id", "bits"))  # ids may repeat
     rows = rows.withColumn("r", place).where(F.col("r") <= per_language).collect()
     if not rows:

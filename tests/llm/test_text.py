@@ -118,6 +118,16 @@ def test_language_edges(spark, edge_docs, no_docs, docs):
     assert language_id.identify(nothing).first()["lang_pred"] == "und"
 
 
+def test_language_sample(spark):
+    rows = [(i, "xy"[i % 7 == 0]) for i in range(9000)] + [(5, "z")] * 9000 + [(i, "z") for i in range(6, 8)]
+    ids = spark.createDataFrame(rows, "doc_id long, lang string").repartition(7)
+    h = {r["doc_id"]: r["h"] for r in ids.select("doc_id", F.xxhash64("doc_id").alias("h")).distinct().collect()}
+    for langs in ("xy", "xyz"):  # z repeats an id: too few rows may hash below its limit
+        of = {x: [d for d, lang in rows if lang == x] for x in langs}
+        expected = {d for x in langs for d in sorted(of[x], key=h.get)[:40]}
+        assert language_id.lowest_ids(ids, {x: len(of[x]) for x in langs}, 40) == expected
+
+
 def test_presence_kernel():
     a, b = language_id.presence("abc, ABD"), language_id.presence(" abc abd ")
     assert (a == b).all() and language_id.presence("12 !") is None and language_id.presence("\U00010400") is not None
