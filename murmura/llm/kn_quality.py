@@ -33,6 +33,8 @@ LONG = 200
 SHARD_GRAMS, SHARD_ASKED = 250_000, 3_000_000
 #: About so many distinct 5-grams are in a block.
 BLOCK_GRAMS = 150_000
+#: 5-grams that a worker makes or scores in one go, and bytes of texts.
+AT_ONCE, TEXT_BYTES = 1 << 18, 1 << 19
 
 
 def canonical(text: str | None) -> bytes:
@@ -42,11 +44,13 @@ def canonical(text: str | None) -> bytes:
 
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(5-grams of all texts in order as integers, how many each text has: its bytes and the end)."""
-    raw = np.frombuffer(START + (END + START).join(texts) + END, np.uint8).astype(np.int64)
-    n = len(raw) - ORDER + 1
-    packed = raw[:n] << 32
-    for k in range(1, ORDER):
-        packed |= raw[k : k + n] << (8 * (ORDER - 1 - k))
+    raw = np.frombuffer(START + (END + START).join(texts) + END, np.uint8)
+    packed = np.zeros(len(raw) - ORDER + 1, np.int64)
+    for i in range(0, len(packed), AT_ONCE):
+        part = packed[i : i + AT_ONCE]
+        for k in range(ORDER):
+            part <<= 8
+            part |= raw[i + k : i + k + len(part)]
     sizes = np.array([len(t) + 1 for t in texts], np.int64)
     return packed[raw[ORDER - 1 :] != START[0]], sizes
 
@@ -133,14 +137,19 @@ def lowest(pairs: list[tuple[int, int]]) -> np.ndarray:
 
 def shard_scores(model_keys: np.ndarray, model_counts: np.ndarray, asked: np.ndarray, cuts: dict[int, list[float]], low: np.ndarray) -> np.ndarray:
     """log P of the asked 5-grams from a shard's part of the model."""
-    p = low[asked & 0xFFFF]
     order = np.argsort(model_keys)
     keys = {5: (model_keys[order], model_counts[order])}
     for n in (4, 3):
         keys[n] = np.unique(keys[n + 1][0] & ((1 << 8 * n) - 1), return_counts=True)
-    for n in (3, 4, 5):
-        p = Counts(*keys[n], cuts[n]).apply(asked & ((1 << 8 * n) - 1), p)
-    return np.log(p)
+    orders = [(n, Counts(*keys[n], cuts[n])) for n in (3, 4, 5)]
+    out = np.empty(len(asked))
+    for i in range(0, len(asked), AT_ONCE):
+        some = asked[i : i + AT_ONCE]
+        p = low[some & 0xFFFF]
+        for n, counts in orders:
+            p = counts.apply(some & ((1 << 8 * n) - 1), p)
+        out[i : i + AT_ONCE] = np.log(p)
+    return out
 
 
 def blocks(docs: DataFrame) -> DataFrame:
@@ -174,9 +183,21 @@ def blocks(docs: DataFrame) -> DataFrame:
     return save(rows.mapInArrow(run, "block long, ids array<long>, langs array<string>, size long, z binary"), "blocks")
 
 
+def _runs(texts: list[bytes]):
+    """Places [i, j) of runs of texts of about TEXT_BYTES."""
+    i = size = 0
+    for j, text in enumerate(texts):
+        if j > i and size + len(text) > TEXT_BYTES:
+            yield i, j
+            i, size = j, 0
+        size += len(text)
+    if i < len(texts):
+        yield i, len(texts)
+
+
 def asked_of(texts: list[bytes], shards: int) -> tuple[np.ndarray, np.ndarray]:
     """A block's distinct 5-grams by shard, ascending in each, and their shards."""
-    asked = np.unique(np.concatenate([np.unique(grams(texts[i : i + 64])[0]) for i in range(0, len(texts), 64)]))
+    asked = np.unique(np.concatenate([np.unique(grams(texts[i:j])[0]) for i, j in _runs(texts)]))
     of = ((asked >> 8) & 0xFFFF) * 2654435761 % 4294967296 % shards
     order = np.argsort(of, kind="stable")
     return asked[order], of[order]
@@ -191,7 +212,7 @@ def squeeze(keys: np.ndarray) -> bytes:
 def unsqueeze(raw: bytes, count: int) -> np.ndarray:
     out = np.zeros((count, 8), np.uint8)
     out[:, :ORDER] = np.frombuffer(pa.Codec("zstd").decompress(raw, count * ORDER, asbytes=True), np.uint8).reshape(ORDER, count).T
-    return out.view("<i8").ravel().astype(np.int64)
+    return out.view("<i8").ravel().astype(np.int64, copy=False)
 
 
 def _unpack(z: bytes, size: int) -> list[bytes]:
@@ -253,8 +274,8 @@ def perplexity(docs: DataFrame, counts: DataFrame) -> DataFrame:
                 asked, _ = asked_of(data, shards)
                 order = np.argsort(asked)
                 keys, logs = asked[order], logs[order]
-                for i in range(0, len(data), 64):
-                    got, sizes = grams(data[i : i + 64])
+                for i, j in _runs(data):
+                    got, sizes = grams(data[i:j])
                     total = np.add.reduceat(logs[np.searchsorted(keys, got)], np.cumsum(sizes) - sizes)
                     out[2] += (sizes - 1).tolist()
                     out[3] += np.exp(-total / sizes).tolist()
