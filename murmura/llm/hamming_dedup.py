@@ -58,9 +58,7 @@ def index_keys(classes: DataFrame) -> DataFrame:
         rng = np.random.default_rng(11)
         salt = rng.integers(0, 1 << 63, (CHUNKS, WIDTH), dtype=np.uint64)
         shift = np.arange(WIDTH - 1, dtype=np.uint64) * np.uint64(16)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
             sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u2").reshape(-1, CHUNKS, WIDTH).astype(np.uint64)
             keys = np.empty((len(sig), CHUNKS, WIDTH), np.uint64)
             for left in range(WIDTH):

@@ -13,9 +13,8 @@ _BYTE[65:91] = _BYTE[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _BASE = 0x9E3779B97F4A7C15
-_UNBASE = pow(_BASE, -1, 1 << 64)
 _PLACE = _rng.integers(0, 1 << 63, WORDS + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+_powers = np.ones(1, np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -24,13 +23,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
+def _power(n: int) -> np.ndarray:
+    """Powers of the base modulo 2**64, as many as the longest word met so far (of up to 2**16 bytes) needed."""
     global _powers
-    if len(_powers[0]) < n:
-        size = 1 << n.bit_length()
-        _powers = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, b, np.uint64)])) for b in (_BASE, _UNBASE))
-    return _powers[0][:n], _powers[1]
+    if len(_powers) >= n:
+        return _powers
+    made = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(1 << n.bit_length(), _BASE, np.uint64)]))
+    if n <= 1 << 16:
+        _powers = made
+    return made
 
 
 def shingle_sets(texts: list[str]) -> list[np.ndarray]:
@@ -45,10 +46,16 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     space = np.concatenate([[True], _SPACE[raw], [True]])
     starts = np.flatnonzero(space[:-1] & ~space[1:])
     ends = np.flatnonzero(~space[:-1] & space[1:])
-    power, unpower = _power(len(raw) + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[raw] * power[1:])])
-    words = mix((total[ends] - total[starts]) * unpower[starts])
-    n = len(words)
+    n = len(starts)
+    if not n:
+        return [np.empty(0, np.uint64) for _ in texts]
+    sizes = ends - starts
+    at = np.cumsum(sizes) - sizes
+    place = np.arange(1, int(sizes.sum()) + 1)
+    place -= np.repeat(at, sizes)
+    values = _BYTE[raw[~space[1:-1]]]
+    values *= _power(int(sizes.max()) + 1)[place]
+    words = mix(np.add.reduceat(values, at))
     if n >= WORDS:
         rolled = words[: n - WORDS + 1] * _PLACE[0]
         for k in range(1, WORDS):
