@@ -73,6 +73,8 @@ def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
 
 _caches: dict[str, Callable[[], None]] = {}
 _running = ""
+#: glibc's mallopt: from what size on memory goes back to the system when it is freed, and how much of less is held.
+_MMAP_THRESHOLD, _TRIM_THRESHOLD = -3, -1
 
 
 def keeps(name: str, clear: Callable[[], None]) -> None:
@@ -81,19 +83,23 @@ def keeps(name: str, clear: Callable[[], None]) -> None:
 
 
 def make_room(name: str) -> None:
-    """A worker process serves many operators: when another one starts, what the others keep is cleared and freed memory
-    goes back to the system."""
+    """At the start of a task. A worker process serves many operators and waits between tasks: when another operator starts,
+    what the others keep is cleared; freed memory goes back to the system, and from then on large arrays at once."""
     global _running
-    if name == _running:
-        return
-    _running = name
-    for other, clear in _caches.items():
-        if other != name:
-            clear()
     try:
-        ctypes.CDLL(None).malloc_trim(0)
+        c = ctypes.CDLL(None)
+        if not _running:
+            c.mallopt(_MMAP_THRESHOLD, 1 << 20)
+            c.mallopt(_TRIM_THRESHOLD, 4 << 20)
+        if name != _running:
+            for other, clear in _caches.items():
+                if other != name:
+                    clear()
+        pa.default_memory_pool().release_unused()
+        c.malloc_trim(0)
     except (OSError, AttributeError):  # another C library
         pass
+    _running = name
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
