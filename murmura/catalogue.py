@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import QUERIES, SQL, covering, evaluating, features, learning, preparing, relating  # noqa: F401
+from .plans import QUERIES, SQL, covering, evaluating, features, learning, preparing, relating, sampling  # noqa: F401
 
 
 def queries() -> dict:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.scalars import quoted
-from .ranges import number
+from .ranges import number, running
 
 
 def configuration(df: DataFrame, file: str, minimum: int) -> DataFrame:
@@ -34,8 +34,7 @@ def file_ids(df: DataFrame, file: str, name: str = "file_id") -> DataFrame:
 def sample_counts(df: DataFrame, file: str, minimum: int, index: str = "chirp_idx") -> DataFrame:
     """(file, n_samples, cum_samples, start): training prefixes of each recording, running total and total before it."""
     counts = df.groupBy(quoted(file)).agg((F.max(quoted(index)) - minimum + 2).cast("long").alias("n_samples"))
-    w = W.orderBy(quoted(file)).rowsBetween(W.unboundedPreceding, 0)
-    return counts.withColumn("cum_samples", F.sum("n_samples").over(w)).withColumn("start", F.col("cum_samples") - F.col("n_samples"))
+    return running(counts, file, {"cum_samples": "n_samples"}).withColumn("start", F.col("cum_samples") - F.col("n_samples"))
 
 
 def assign_splits(files: DataFrame, splits: int, total: int | None = None, file: str = "file_id") -> DataFrame:
