@@ -1,7 +1,8 @@
 """Token ids of whole texts by the ``tokenizers`` library, with a bounded cache of white-space separated chunks.
 
 No pattern of the tokenizer family used here crosses white space, so a text's ids are those of its chunks, in order.
-Chunks are kept as little-endian 16-bit ids (32-bit for larger vocabularies), so that a text's ids are one join. A text
+Chunks are kept as little-endian 16-bit ids (32-bit for larger vocabularies). Many texts are encoded at once: their chunks,
+parted once more where punctuation follows letters, are numbered by Arrow, and each different one is looked up once. A text
 that holds the string of an added token (``<|endoftext|>``, say), which the library finds before anything else, is encoded
 whole by the library.
 """
@@ -12,6 +13,7 @@ import json
 from unicodedata import normalize
 
 import numpy as np
+import pyarrow as pa
 
 from .common import keeps, make_room
 
@@ -21,6 +23,12 @@ LONG = 64
 MEAN = 16
 #: ASCII punctuation that the split pattern keeps as one piece after a word (the apostrophe starts other rules).
 TAIL = '.,;:!?"#$%&()*+-/@[]^_`{|}~'
+#: What parts chunks; by bytes of UTF-8: what a tail is of, and what is neither a space nor, perhaps, of a letter.
+SPACES = bytes.maketrans(b"\n\t\r", b"   ")
+IS_TAIL = np.isin(np.arange(256), np.frombuffer(TAIL.encode(), np.uint8))
+IS_OTHER = np.array([b < 128 and b != 32 and not chr(b).isalpha() for b in range(256)])
+#: Longer tails aren't looked for in bytes.
+LONG_TAIL = 8
 
 
 def _byte_alphabet() -> dict[int, int]:
@@ -45,7 +53,7 @@ class ChunkTokenizer:
     characters in all (a chunk costs about 200 bytes and 12 a character at most, so a generation is bounded in bytes): when
     the young one is full it becomes the old one, from which chunks that are met again are taken back."""
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 300_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -83,16 +91,14 @@ class ChunkTokenizer:
     def _raw(self, ids) -> bytes:
         return np.array(ids, self.dtype).tobytes()
 
-    def _letters(self, words: list[str]) -> None:
-        """Words of letters only: each is one piece, whose last id ends a word. Checked by count; else one by one."""
-        groups = [words[i : i + 512] for i in range(0, len(words), 512)]
-        step, cache, whole = self.dtype.itemsize, self.cache, self.tok
-        joined = [" ".join(g) for g in groups]
-        if self.plain is not None:  # the letters as the byte alphabet has them, so that nothing but the merges is left to do
-            whole = self.plain
-            joined = [j.lower() if j.isascii() else normalize("NFC", j).lower().encode().decode("latin-1").translate(BYTES) for j in joined]
-        for some, e in zip(groups, whole.encode_batch_fast(joined, add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, self.dtype)
+    def _letters(self, words: list[str], plain: list[str]) -> None:
+        """Words of letters only, with what ``_plain`` makes of them: each is one piece, whose last id ends a word. Checked by
+        count; else one by one."""
+        starts = range(0, len(words), 512)
+        step, cache = self.dtype.itemsize, self.cache
+        whole = self.tok if self.plain is None else self.plain
+        for i, e in zip(starts, whole.encode_batch_fast([" ".join(plain[i : i + 512]) for i in starts], add_special_tokens=False), strict=True):
+            ids, some = np.array(e.ids, self.dtype), words[i : i + 512]
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(some):
                 raw = ids.tobytes()
@@ -105,66 +111,112 @@ class ChunkTokenizer:
         for c, e in zip(chunks, self.tok.encode_batch_fast(chunks, add_special_tokens=False), strict=True):
             self.cache[c] = self._raw(e.ids)
 
-    def learn(self, chunks: set[str]) -> None:
-        """Chunks of the old generation are taken back; letters, and letters before punctuation, are encoded as words."""
+    def _plain(self, words: list[str]) -> list[str]:
+        """The letters as the byte alphabet has them, so that nothing but the merges is left to do."""
+        joined = " ".join(words)
+        if self.plain is None or not words:
+            return words
+        if joined.isascii():
+            return joined.lower().split(" ")
+        return normalize("NFC", joined).lower().encode().decode("latin-1").translate(BYTES).split(" ")
+
+    def learn(self, chunks: list[str]) -> None:
+        """Chunks (each once) of the old generation are taken back; letters, and letters before punctuation, are encoded as
+        words."""
         cache, old = self.cache, self.old
-        letters, both, single = set(), [], set()
+        letters, both, single = [], [], []
         for c in chunks:
             if c in old:
                 cache[c] = old[c]
-            elif len(c) > LONG:
-                single.add(c)
             elif c.isalpha():
-                (letters if c.isascii() or _word(c) else single).add(c)
+                (letters if len(c) <= LONG and (c.isascii() or _word(c)) else single).append(c)
             else:
-                core = c[:-1]  # most have one mark at the end
-                if c[-1] not in TAIL or not core.isalpha():
-                    core = c.rstrip(TAIL)
+                core = c.rstrip(TAIL) if len(c) <= LONG else ""
                 if core.isalpha() and (core.isascii() or _word(core)):
                     both.append((c, core, c[len(core) :]))
                 else:
-                    single.add(c)
-        for _, core, tail in both:
-            if core not in cache:
-                letters.add(core)
-            if tail not in cache:
-                single.add(tail)
-        for core in [c for c in letters if c in old]:
-            cache[core] = old[core]
-            letters.discard(core)
-        self._letters(list(letters))
-        self._single(list(single))
+                    single.append(c)
+        if both:
+            known = {*letters, *single}
+            letters += {core for _, core, _ in both if core not in cache} - known
+            single += {tail for _, _, tail in both if tail not in cache} - known
+        self._letters(letters, self._plain(letters))
+        self._single(single)
         for c, core, tail in both:
             cache[c] = cache[core] + cache[tail]
 
+    def _split(self, texts: list[bytes]) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
+        """(parts of chunks, which of them are cores, before their tails; the number of parts up to each text's end). Cores are
+        letters, as far as bytes of UTF-8 show: chunks without a core are one part."""
+        data = b" ".join([*texts, b""]).translate(SPACES)
+        raw = np.frombuffer(data, np.uint8)
+        ends = np.flatnonzero(raw == 32)
+        last = np.searchsorted(ends, np.cumsum([len(t) + 1 for t in texts])) if texts else np.zeros(0, np.int64)
+        some = np.flatnonzero(IS_TAIL[raw[ends - 1]])
+        tails = ends[some] - 1
+        for _ in range(LONG_TAIL):
+            tails -= IS_TAIL[raw[tails - 1]]
+        starts = np.where(some > 0, ends[some - 1] + 1, 0)
+        other = np.flatnonzero(IS_OTHER[raw])
+        cored = (tails > starts) & (np.searchsorted(other, starts) == np.searchsorted(other, tails))
+        some, tails = some[cored], tails[cored]
+        spaces = np.arange(len(ends))
+        at = np.zeros(len(ends) + len(some) + 1, np.int32)
+        at[1:] = np.insert(ends - spaces, some, tails - some)  # without the spaces before them
+        cores = np.insert(np.zeros(len(ends), bool), some, True)
+        parts = pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at), pa.py_buffer(data.translate(None, b" ")))
+        return parts.dictionary_encode(), cores, last + np.searchsorted(some, last)
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.frombuffer(raw, self.dtype) for raw in self.encode_raw(texts)]
 
     def encode_raw(self, texts: list[str]) -> list[bytes]:
         """The ids as the bytes of ``dtype``."""
+        return self.encode_column(texts).to_pylist()
+
+    def encode_column(self, texts: list[str], end: bytes = b"") -> pa.BinaryArray:
+        """The ids of each text as the bytes of ``dtype``, followed by ``end``. Arrow numbers the parts of all texts' chunks
+        and puts their ids in their places, so that Python works on each different part once."""
         if len(self.cache) > self.limit or self.held > MEAN * self.limit:
             self.old, self.cache, self.held = self.cache, {"": b""}, 0
         # the vocabulary is of lower-cased text; lowering ASCII text beforehand changes nothing but what marks it seems to hold
         lower = [t.lower() if t.isascii() else t for t in texts] if self.lowers else texts
-        whole = [i for i, t in enumerate(lower) if not self.parts or any(m in t for m in self.marks)]
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in lower]
-        for i in whole:
-            split[i] = [""]
-        seen: set[str] = set()
-        for words in split:
-            seen.update(words)
-        missing = seen.difference(self.cache)
+        whole = {i for i, t in enumerate(lower) if not self.parts or any(m in t for m in self.marks)}
+        words, cores, last = self._split([b"" if i in whole else t.encode() for i, t in enumerate(lower)])
+        names, index = words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy()
+        is_core = np.zeros(len(names), bool)
+        is_core[index[cores]] = True
+        odd = [i for i in np.flatnonzero(is_core).tolist() if not names[i].isascii() and not _word(names[i])]
+        if odd:  # what looked like a core isn't letters: it is one part with its tail
+            is_core[:] = False
+            is_core[odd] = True
+            at = np.flatnonzero(cores & is_core[index])
+            pairs, inverse = np.unique(np.stack([index[at], index[at + 1]]), axis=1, return_inverse=True)
+            glued = {names[a] + names[b]: None for a, b in pairs.T.tolist()}
+            place = {c: len(names) + 1 + k for k, c in enumerate(glued)}
+            index = index.copy()
+            index[at + 1] = len(names)
+            index[at] = np.array([place[names[a] + names[b]] for a, b in pairs.T.tolist()])[inverse.ravel()]
+            names = [*names, "", *glued]
+        ids = [*map(self.cache.get, names)]
+        missing = [*{c: None for c, x in zip(names, ids) if x is None}]
         if missing:
             self.learn(missing)
-        get = self.cache.__getitem__
-        out = [b"".join(map(get, words)) for words in split]
-        for c in missing:
-            if len(c) > LONG:
-                del self.cache[c]
-            else:
-                self.held += len(c)
-        for i in whole:
-            out[i] = self._raw(self.tok.encode(texts[i], add_special_tokens=False).ids)
+            ids = [self.cache[c] if x is None else x for c, x in zip(names, ids)]
+            for c in missing:
+                if len(c) > LONG:
+                    del self.cache[c]
+            self.held += sum(len(c) for c in missing if len(c) <= LONG)
+        ids.append(end)
+        placed = pa.array(ids, pa.binary()).take(pa.array(np.insert(index, last, len(names))))
+        at = np.zeros(len(texts) + 1, np.int32)
+        at[1:] = np.frombuffer(placed.buffers()[1], np.int32, len(placed) + 1)[last + np.arange(1, len(texts) + 1)]
+        out = pa.BinaryArray.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(at), placed.buffers()[2] or pa.py_buffer(b"")])
+        if whole:
+            mixed = out.to_pylist()
+            for i in whole:
+                mixed[i] = self._raw(self.tok.encode(texts[i], add_special_tokens=False).ids) + end
+            out = pa.array(mixed, pa.binary())
         return out
 
 

@@ -53,6 +53,24 @@ def test_caches_are_bounded_in_bytes(word, chunked, bpe):
         assert max(map(len, cache), default=0) <= 64 and sum(map(len, cache)) <= 16 * 500 + 10_000
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="aÉΣ日ßx\u0331²’”'.,;$ \n1", max_size=16), max_size=5), st.sampled_from([b"", b"\2\0"]))
+def test_columns_are_the_librarys(word, chunked, texts, end):
+    """What looks like letters before punctuation and isn't, in many texts at once."""
+    texts = [*texts, "“word”, “word”. ΑΣ, x̱. " + "a" + "." * 30, "<|endoftext|>,"]
+    plain = [np.array(word.encode(t, add_special_tokens=False).ids, "<u2").tobytes() + end for t in texts]
+    assert chunked.encode_column(texts, end).to_pylist() == plain
+
+
+def test_a_part_is_worked_on_once(vocab, monkeypatch):
+    """Words with and without punctuation, however often: each word and each tail is learned once, alone."""
+    tok, learned = ChunkTokenizer(vocab.path("word_bpe_49k.json")), []
+    learn = tok.learn
+    monkeypatch.setattr(tok, "learn", lambda chunks: (learned.extend(chunks), learn(chunks)))
+    tok.encode_raw(["Rivers, lakes; rivers. École! École, lakes$$$ " * 500, "rivers... lakes\n" * 500])
+    assert sorted(learned) == sorted(["rivers", "lakes", "École", "Rivers", ",", ";", ".", "!", "$$$", "..."])
+
+
 @pytest.fixture(scope="module")
 def bpe(vocab):
     ranks = byte_bpe.read_ranks(vocab.path("byte_bpe_50k.tiktoken"))
@@ -208,6 +226,21 @@ def test_code(n, limit):
         huffman.read_block(code, raw[:50] + bytes([raw[50] ^ 1]) + raw[51:])
 
 
+def test_codes_are_made_in_small_pieces():
+    """No array but the words has an element for each symbol, and pieces join without a gap."""
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    ids = rng.integers(0, 5000, 1 << 18).astype(np.uint16)
+    code = huffman.Code(huffman.code_lengths(np.bincount(ids, minlength=5000), 20))
+    tracemalloc.start()
+    words, marks = code.encode(ids)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 * len(ids)
+    assert (code.decode(words, marks, len(ids)) == ids).all()
+
+
 def test_optimal_lengths():
     """Without a tight limit the code is as short as Huffman's."""
     import heapq
